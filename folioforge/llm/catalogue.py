@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("neighbours",)
+MODULES = ("neighbours", "neardup")
 
 
 def _modules() -> list:
