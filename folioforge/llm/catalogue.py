@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("neighbours", "neardup")
+MODULES = ("neighbours", "neardup", "splitting")
 
 
 def _modules() -> list:
