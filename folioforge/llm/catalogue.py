@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("neighbours", "neardup", "splitting")
+MODULES = ("neighbours", "neardup", "splitting", "lookalikes")
 
 
 def _modules() -> list:
