@@ -41,6 +41,8 @@ KINDS = ("fullwidth", "combining", "invisible", "space", "presentation", "lookal
 #: Letters of other scripts and the Latin letter of the same look.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXaesijopcyxhdqwl", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορτυχϲϳ", "ABEZHIKMNOPTYXaikvoptuxcj", strict=True))
+#: Letters that few languages write; no Latin letter is taken for one of them.
+RARE = frozenset("ЅЈѕјһԁԛԝӏϲϳ")
 LATIN_OF = CYRILLIC | GREEK
 
 _INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⁦-⁯ㅤ﻿ﾠ"
@@ -137,7 +139,7 @@ def by_table(chars: list[str], kinds: list[str]) -> tuple[str, list[str]]:
     if len(letters) < 4 and not cyr:  # a symbol of a formula, such as a Greek letter with an index
         return "".join(chars), kinds
     strict_other = len(other) - len(alike)
-    back = {v: k for k, v in (CYRILLIC if cyr * 2 >= len(other) else GREEK).items()}
+    back = {v: k for k, v in (CYRILLIC if cyr * 2 >= len(other) else GREEK).items() if k not in RARE}
     strict_latin = sum(_looks(c) == c and unicodedata.normalize("NFD", c)[0] not in back for c in latin)
     if (strict_latin, len(latin)) >= (strict_other, len(other)):
         if not alike:
