@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("neighbours", "neardup", "splitting", "packing", "mixing", "lookalikes")
+MODULES = ("neighbours", "answers", "neardup", "splitting", "packing", "mixing", "lookalikes")
 
 
 def _modules() -> list:
