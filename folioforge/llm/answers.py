@@ -45,9 +45,9 @@ i must decline|must decline|have to decline|i decline|respectfully refuse|i refu
 beyond my capabilities|beyond my abilities|beyond what i can|outside what i am permitted|outside my scope|not permitted|not allowed to|against my guidelines|my guidelines|my instructions|my programming|prevent me from|for policy reasons|policy prevents|violates
 as a language model|as an ai|an assistant like me|im only an ai|im just an ai|i am only an ai|i am just an ai|do not have the ability|dont have the ability|no access to|do not have access|dont have access
 dont feel comfortable|do not feel comfortable|not comfortable|rather not|prefer not to|inappropriate for me|not appropriate for me|would be inappropriate|no comment|stays unanswered|remains unanswered|have to leave to|leave to a qualified|leave that to|not in a position|i have to pass|i must pass
-darf ich leider nicht|kann ich leider nicht|leider nicht beantworten|kann ich nicht|ich kann nicht|nicht helfen|nicht beantworten|ich darf nicht|als sprachmodell|als ki|keine auskunft|lehne ich ab|muss ich ablehnen|möchte ich nicht|bin nicht in der lage|bin ich nicht in der lage|es tut mir leid
-je ne peux pas|je ne puis|je suis désolé|je regrette|je ne suis pas en mesure|ne peux pas répondre|je préfère ne pas|je dois refuser|je refuse|en tant que modèle|en tant qu|il mest impossible|ne suis pas autorisé|pas en mesure de
-no puedo|lo siento|no me es posible|no estoy en condiciones|prefiero no|como modelo de lenguaje|como ia|debo declinar|debo rechazar|no estoy autorizado|no tengo permitido|me temo que no|no soy capaz
+darf ich leider nicht|kann ich leider nicht|leider nicht beantworten|kann ich nicht|ich kann nicht|nicht helfen|nicht beantworten|ich darf nicht|als sprachmodell|als ki|keine auskunft|lehne ich ab|muss ich ablehnen|möchte ich nicht|bin nicht in der lage|nicht äußern|nicht äussern|keine angaben machen|bin ich nicht in der lage|es tut mir leid
+je ne peux pas|je ne puis|je suis désolé|je regrette|je ne suis pas en mesure|ne peux pas répondre|je préfère ne pas|je dois refuser|je refuse|en tant que modèle|en tant qu|il mest impossible|ne suis pas autorisé|pas en mesure de|ne souhaite pas|ne veux pas
+no puedo|lo siento|no me es posible|no estoy en condiciones|prefiero no|como modelo de lenguaje|como ia|debo declinar|debo rechazar|no estoy autorizado|no tengo permitido|me temo que no|no soy capaz|no deseo
 """.replace("\n", "|").strip("|").split("|")
 #: Courtesies around a refusal, which are no content.
 COURTESIES = """
@@ -192,7 +192,10 @@ def is_refusal(response: str) -> bool:
 def is_echo(prompt: str, response: str) -> bool:
     """The response gives the question back, or a run of the prompt with it, and what
     it adds is at most a few words of lead."""
-    q, r = words_of(question_of(prompt)), words_of(LABEL.sub("", response))
+    # the longest sentence of the last line asks; others instruct
+    line = question_of(prompt)
+    q = max((words_of(x) for x in re.split(r"(?<=[.!?])\s+", line)), key=len, default=[])
+    r = words_of(LABEL.sub("", response))
     if len(q) < 3 or not r:
         return False
     p = words_of(prompt)
