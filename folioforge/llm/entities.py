@@ -47,7 +47,7 @@ MARKERS = ("corrigendum", "erratum", "addendum", "replication", "retraction", "s
 MARKER_PAIRS = (("years", "later"), ("new", "data"), ("follow", "up"), ("second", "study"), ("a", "reply"), ("a", "comment"))
 
 _NOTE = re.compile(r"\s*(?:\[[^\[\]]*\]|\((?:in |to |submitted|preprint|forthcoming|accepted|unpublished|under)[^()]*\)|,?\s*(?:in press|forthcoming|to appear|submitted|preprint|unpublished))\s*\.?\s*$", re.I)
-_VENUE = re.compile(r"^(.{12,}?\w{2,}[\"'”’)\]]*)[.!?][\"'”’]*\s+((?:[A-Z][\w&-]*\s+)(?:(?:of|on|in|the|and|for|&|[A-Z][\w-]*)\s*){1,7})\.?$")
+_VENUE = re.compile(r"^(.{12,}?\w[\"'”’)\]]*)[.!?]+[\"'”’]*\s+((?:[A-Z][\w&-]*\s+)(?:(?:of|on|in|the|and|for|&|[A-Z][\w-]*)\s*){1,7})\.?$")
 _CUT = re.compile(r"\s*(?:\.\.\.|…)\s*$")
 
 
@@ -85,8 +85,10 @@ def without_notes(title: str) -> tuple[str, bool]:
     """A cited title without quotes, notes and venue; whether a venue stood there."""
     t = _NOTE.sub("", title.strip()).strip()
     venue = _VENUE.match(t)
-    if venue:
+    if venue and not venue[2].isupper():
         t = venue[1]
+    else:
+        venue = None
     t = _NOTE.sub("", t.strip("\"'“”‘’ ")).strip()
     return t.strip("\"'“”‘’ "), bool(venue)
 
@@ -115,7 +117,7 @@ def marker(title: str) -> str:
     words = plain_words(_CUT.sub("", without_notes(title)[0]))
     tail = words[-6:]
     for m in MARKERS:
-        if any(w == m or len(w) > 5 and difflib.SequenceMatcher(None, w, m).ratio() >= 0.8 for w in tail):
+        if any(w == m or abs(len(w) - len(m)) < 3 and difflib.SequenceMatcher(None, w, m).ratio() >= 0.86 for w in tail):
             return m
     near = lambda a, b: a == b or len(b) > 3 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.75
     for a, b in MARKER_PAIRS:
@@ -187,19 +189,40 @@ def close_titles(cited: DataFrame, papers: DataFrame) -> DataFrame:
     return both.groupBy("ccls", "pcls").agg(F.max(dice).alias("title"), F.any_value(F.col("cm") == F.col("pm")).alias("same_kind"))
 
 
-def _encode_authors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@cache
+def _word_vector(word: str) -> int:
+    return encode([word])
+
+
+def word_dice(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    x, y = _word_vector(a), _word_vector(b)
+    return 2 * (x & y).bit_count() / (x.bit_count() + y.bit_count())
+
+
+def people(cited: str | None, written: str | None) -> float | None:
+    """How well the cited names are found among the written: the mean over the cited
+    of the best share of long words in common, by Dice of the words' vectors."""
+    a, b = ([x for n in author_names(f) if (x := re.findall(r"[^\W\d_]{3,}", fold(n)))] for f in (cited, written))
+    if not a or not b:
+        return None
+    shares = []
+    for x in a:
+        best = 0.0
+        for y in b:
+            few, many = (x, y) if len(x) <= len(y) else (y, x)
+            hits = [d for w in few if (d := max(word_dice(w, v) for v in many)) >= 0.6]
+            best = max(best, sum(hits) / len(few))
+        shares.append(best)
+    return sum(shares) / len(shares)
+
+
+def _people(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            rows = []
-            for field in batch.column("authors").to_pylist():
-                words = [w for name in author_names(field) for w in re.findall(r"[^\W\d_]{3,}", fold(name))]
-                rows.append(_longs(encode(words)) if words else None)
-            yield batch.append_column("av", pa.array(rows, pa.list_(pa.int64())))
-
-
-def _with_authors(df: DataFrame) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", av array<bigint>"
-    return df.mapInArrow(_encode_authors, schema)
+            found = [people(c, p) for c, p in zip(batch.column("ca").to_pylist(), batch.column("pa").to_pylist(), strict=True)]
+            yield batch.drop_columns(["ca", "pa"]).append_column("shared", pa.array(found, pa.float64()))
 
 
 def _level(value: Column, *bounds: float) -> Column:
@@ -244,20 +267,22 @@ def match(cited: DataFrame, papers: DataFrame, least: float = 0.5) -> DataFrame:
     for d, is_cited in ((cited, True), (papers, False)):
         titles = d.groupBy("title").agg(F.min("id").alias("cls"))
         encoded = cut(titles.select("cls", "title").mapInArrow(lambda it, c=is_cited: _encode_titles(it, c), _TITLE))
-        records = _with_authors(d.join(titles, "title").groupBy("cls", "authors", "year").agg(F.min("id").alias("rid")))
+        records = d.join(titles, "title").groupBy("cls", "authors", "year").agg(F.min("id").alias("rid"))
         sides.append((titles, encoded, records))
     (ct, ce, cr), (_, pe, pr) = sides
     near = close_titles(ce, pe)
-    pairs = near.join(cr.select(F.col("cls").alias("ccls"), F.col("rid").alias("crid"), F.col("av").alias("ca"), F.col("year").alias("cy")), "ccls")
-    pairs = pairs.join(pr.select(F.col("cls").alias("pcls"), F.col("rid").alias("prid"), F.col("av").alias("pa"), F.col("year").alias("py")), "pcls")
-    common = F.expr(" + ".join(f"bit_count(ca[{i}] & pa[{i}])" for i in range(4)))
-    fewer = F.least(F.expr(_ones("ca")), F.expr(_ones("pa")))
-    shared = F.when(F.col("ca").isNotNull() & F.col("pa").isNotNull(), common / fewer)
-    apart = F.abs(F.col("cy") - F.col("py"))
+    pairs = near.join(cr.select(F.col("cls").alias("ccls"), F.col("rid").alias("crid"), F.col("authors").alias("ca"), F.col("year").alias("cy")), "ccls")
+    pairs = pairs.join(pr.select(F.col("cls").alias("pcls"), F.col("rid").alias("prid"), F.col("authors").alias("pa"), F.col("year").alias("py")), "pcls")
+    pairs = pairs.select("crid", "prid", "title", "same_kind", "cy", "py", "ca", "pa").mapInArrow(
+        _people, "crid bigint, prid bigint, title double, same_kind boolean, cy int, py int, shared double"
+    )
+    shared = F.col("shared")
+    # a year of one or two digits has lost its century
+    apart = F.abs(F.col("cy") - F.when(F.col("cy") < 100, F.col("py") % 100).otherwise(F.col("py")))
     pairs = pairs.select(
         "crid", "prid", "title", "same_kind", F.coalesce(shared, F.lit(0.5)).alias("people"), F.coalesce(-apart, F.lit(-2)).alias("when"),
         _level(F.col("title"), 0.85, 0.92, 0.96, 0.99).alias("t"),
-        F.when(shared.isNull(), -1).otherwise(_level(shared, 0.45, 0.6, 0.8)).alias("a"),
+        F.when(shared.isNull(), -1).otherwise(_level(shared, 0.3, 0.55, 0.8)).alias("a"),
         F.when(apart.isNull(), -1).otherwise(F.when(apart == 0, 3).when(apart == 1, 2).when(apart < 5, 1).otherwise(0)).alias("y"),
         F.col("same_kind").cast("int").alias("s"),
     )
