@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("neighbours", "answers", "name_variants", "entities", "neardup", "splitting", "packing", "mixing", "lookalikes")
+MODULES = ("neighbours", "answers", "name_variants", "entities", "scans", "neardup", "splitting", "packing", "mixing", "lookalikes")
 
 
 def _modules() -> list:
