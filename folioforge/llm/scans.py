@@ -306,7 +306,9 @@ def fit_words(words: list[tuple[str, int]], seed: int = 4) -> Boosted:
 
 
 #: A misreading changes at most this many of a word's grams.
-CHANGED = 5
+CHANGED = 4
+#: A word of which this share stands in texts that were not scanned is as it was written.
+WRITTEN = 0.25
 
 
 def retrieve(suspects: DataFrame, known: DataFrame, ratio: float = 8.0) -> DataFrame:
@@ -408,7 +410,8 @@ class Scans:
         """(seen, meant): the words to be replaced."""
         count = self.vocabulary
         seen = self.scanned.select(F.explode("words").alias("word")).distinct().join(count, "word", "left")
-        seen = seen.select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("clean", F.lit(0)).alias("clean")).where("word rlike '\\\\p{L}'")
+        seen = seen.select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("clean", F.lit(0)).alias("clean"))
+        seen = seen.where(F.col("word").rlike(r"\p{L}") & (F.col("clean") < WRITTEN * F.greatest("n", F.lit(1))))
         known = count.select("word", "n").where("n >= 5 and word rlike '^\\\\p{L}{3,40}$'")
         model = self.ranking
         ranked = retrieve(seen, known).mapInArrow(lambda it: _rank(it, model), "seen string, meant string, p double")
