@@ -55,6 +55,7 @@ _MIXED = r"\p{IsLatin}[\p{M}\p{Cf}]*" + _FOREIGN + "|" + _FOREIGN + r"[\p{M}\p{C
 SUSPECT = f"[{_INVISIBLE}{_BLANK}{_FORMS}{_WIDE}]|\\p{{M}}|{_MIXED}"
 
 _WORD = regex.compile(rf"[\p{{L}}\p{{M}}\p{{N}}\p{{Cf}}{_INVISIBLE}{_WIDE}{_FORMS}]+")
+_CORE = regex.compile(rf"[\p{{L}}\p{{N}}{_WIDE}{_FORMS}]")
 _DIRTY = regex.compile(rf"[{_INVISIBLE}{_FORMS}{_WIDE}]|\p{{M}}|" + _MIXED)
 _SPACES = regex.compile(f"[{_BLANK}]")
 _IDEOGRAPHIC = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}]")
@@ -217,7 +218,7 @@ def _japanese(text: str) -> bool:
 
 
 def _dirty_words(text: str) -> set[str]:
-    return {m[0] for m in _WORD.finditer(text) if _DIRTY.search(m[0])}
+    return {m[0] for m in _WORD.finditer(text) if _DIRTY.search(m[0]) and _CORE.search(m[0])}
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +254,8 @@ def rewrite(text: str, spelt: dict[str, tuple[str, list[str]]]) -> tuple[str, li
 
     def word(m: regex.Match) -> str:
         w = m[0]
-        if not _DIRTY.search(w):
+        # marks and joiners by themselves are judged below, by what stands around them
+        if not _DIRTY.search(w) or not _CORE.search(w):
             return w
         canon, found = spelt.get(w) or spell(w, None, japanese)
         kinds.update(found)
