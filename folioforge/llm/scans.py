@@ -164,7 +164,7 @@ def fit_lines(texts: list[str], titles: list[str], venues: list[str], seed: int
         xs.append(line_features(lines))
         ys += kinds
     x, y = np.concatenate(xs), np.array(ys)
-    return Boosted(rounds=50).fit(x, y == 1), Boosted(rounds=50).fit(x, y == 2)
+    return Boosted(rounds=80).fit(x, y == 1), Boosted(rounds=60).fit(x, y == 2)
 
 
 def read_lines(text: str, header: np.ndarray, page: np.ndarray) -> tuple[list[tuple[str, str]], list[tuple[str, str, str]]]:
@@ -336,7 +336,9 @@ def _rank(batches: Iterator[pa.RecordBatch], model: Boosted) -> Iterator[pa.Reco
     for batch in batches:
         if batch.num_rows:
             cols = [batch.column(c).to_pylist() for c in ("seen", "meant", "n_seen", "n_meant", "clean")]
-            p = model.predict(np.array([word_features(*r) for r in zip(*cols, strict=True)]))
+            x = np.array([word_features(*r) for r in zip(*cols, strict=True)])
+            # a scanner's reading comes about by its confusions; others are other words
+            p = np.where(x[:, 1] <= 2, model.predict(x), 0.0)
             out = pa.record_batch([batch.column("seen"), batch.column("meant"), pa.array(p)], names=["seen", "meant", "p"])
             yield out.filter(pa.array(p >= 0.5))
 
@@ -393,7 +395,7 @@ class Scans:
         self.vocabulary = cut(vocabulary(texts))
         plain = texts.where(~F.col("text").contains("\n") & F.length("text").between(200, 2000))
         take = lambda d, by, n: d.orderBy(F.xxhash64(*by), *by).limit(n)
-        bodies = [r[0] for r in take(plain.select("text"), ["text"], min(sample, 300)).collect()]
+        bodies = [r[0] for r in take(plain.select("text"), ["text"], min(sample, 800)).collect()]
         heads = take(titles.where("length(title) > 20").select("title", "venue").distinct(), ["title", "venue"], sample).collect()
         self.header, self.page = fit_lines(bodies, [r[0] for r in heads], sorted({r[1] for r in heads if r[1]}))
         common = self.vocabulary.where("n >= 5 and word rlike '^\\\\p{L}{4,}$'")
