@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import clean
@@ -150,3 +150,13 @@ def first_paragraph(text: Column) -> Column:
 
 def cut_with_dots(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
+def themes(answers: DataFrame) -> DataFrame:
+    """(id, theme, description, paper_id) of answers (id, text) that list themes in
+    blocks parted by rules; a block without a name gives nothing."""
+    b = answers.select("id", F.explode(F.split("text", "-{3,}")).alias("b"))
+    field = lambda label: F.trim(F.regexp_extract("b", rf"{label}:\s*(.+)", 1))
+    ids = F.regexp_extract_all(F.regexp_extract("b", r"PAPERS:\s*(.+)", 1), F.lit(r"\d+"), F.lit(0))
+    t = b.select("id", field("THEME").alias("theme"), field("DESCRIPTION").alias("description"), ids.alias("ids")).where("theme <> ''")
+    return t.select("id", "theme", "description", F.explode("ids").alias("p")).select("id", "theme", "description", F.col("p").try_cast("bigint").alias("paper_id"))

@@ -204,3 +204,49 @@ def st2_debounce(spark, folder):
     tests hold it against a plain loop."""
     e = table(spark, folder, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
     return debounce(e, 6 * 3600.0)
+
+
+@query("""
+with n as (select id, paper_ids, list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\\[Paper\\s+(\\d+)', 1), lambda x: x::bigint)), lambda x: list_contains(paper_ids, x)) as c from notes)
+select distinct id, unnest(case when len(c) > 0 then c else paper_ids end) as paper_id from n""")
+def j14_cited_in_context(spark, folder):
+    """The papers of a note that its answer cites; all of them if it cites none."""
+    cited = F.transform(F.regexp_extract_all("answer", F.lit(r"\[Paper\s+(\d+)"), F.lit(1)), lambda x: x.cast("bigint"))
+    hit = F.array_intersect(F.coalesce(cited, F.array().cast("array<bigint>")), F.col("paper_ids"))
+    return L.notes(spark, folder).select("id", F.explode(F.array_distinct(F.when(F.size(hit) > 0, hit).otherwise(F.col("paper_ids")))).alias("paper_id"))
+
+
+@query(f"with {_C} select c.id from c left join papers p on p.id = c.paper_id where p.id is null or p.content_version is null or c.content_version >= p.content_version")
+def pr12_fresh_chunks(spark, folder):
+    """Chunks cut from the paper's present version, or from a paper no longer known."""
+    p = L.papers(spark, folder).select(F.col("id").alias("paper_id"), F.col("content_version").alias("now"))
+    return L.chunks(spark, folder).join(p, "paper_id", "left").where(F.col("now").isNull() | (F.col("content_version") >= F.col("now"))).select("id")
+
+
+@query("select n.id, p.id as paper_id, '[Paper ' || p.id || '] ' || p.title || ' (' || coalesce(p.year::varchar, 'N/A') || ')' as line from (select id, unnest(paper_ids) as q from notes) n join papers p on p.id = n.q")
+def j12_summary_lines(spark, folder):
+    """A line for each paper of each note."""
+    n = L.notes(spark, folder).select("id", F.explode("paper_ids").alias("paper_id"))
+    p = L.papers(spark, folder).select(F.col("id").alias("paper_id"), F.concat(F.lit("[Paper "), F.col("id").cast("string"), F.lit("] "), "title", F.lit(" ("), F.coalesce(F.col("year").cast("string"), F.lit("N/A")), F.lit(")")).alias("line"))
+    return n.join(p, "paper_id").select("id", "paper_id", "line")
+
+
+@query("select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def v5_cosine(spark, folder):
+    """The similarity of each vector to the next."""
+    from folioforge.operators.vectors import cosine
+
+    e = table(spark, folder, "embeddings", "vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(nxt, "vec_id").select("vec_id", cosine("embedding", "other").alias("similarity"))
+
+
+@query("""
+with t as (select id, 'THEME: ' || title || chr(10) || 'DESCRIPTION: ' || coalesce(publication, 'none') || chr(10) || 'PAPERS: ' || id || ', 999999999' as b from papers)
+select id, trim(regexp_extract(b, 'THEME:\\s*(.+)', 1)) as theme, trim(regexp_extract(b, 'DESCRIPTION:\\s*(.+)', 1)) as description, id as paper_id from t""")
+def f26_themes(spark, folder):
+    """Theme blocks as a model writes them, read back; unknown papers are left out."""
+    block = F.concat(F.lit("THEME: "), "title", F.lit("\nDESCRIPTION: "), F.coalesce("publication", F.lit("none")), F.lit("\nPAPERS: "), F.col("id").cast("string"), F.lit(", 999999999"))
+    p = L.papers(spark, folder)
+    themes = X.themes(p.select("id", block.alias("text")))
+    return themes.join(p.select(F.col("id").alias("paper_id")), "paper_id", "left_semi").select("id", "theme", "description", "paper_id")
