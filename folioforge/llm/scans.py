@@ -390,18 +390,28 @@ class Scans:
     """
 
     def __init__(self, texts: DataFrame, titles: DataFrame, sample: int = 1500) -> None:
+        total = texts.select("record_id").count()
         texts = texts.select("record_table", "record_id", "text").where("record_id is not null and text is not null")
         self.texts, self.sample = texts, sample
         self.vocabulary = cut(vocabulary(texts))
         plain = texts.where(~F.col("text").contains("\n") & F.length("text").between(200, 2000))
-        take = lambda d, by, n: d.orderBy(F.xxhash64(*by), *by).limit(n)
-        bodies = [r[0] for r in take(plain.select("text"), ["text"], min(sample, 800)).collect()]
-        heads = take(titles.where("length(title) > 20").select("title", "venue").distinct(), ["title", "venue"], sample).collect()
+
+        def take(d: DataFrame, by: list[str], n: int, of: int) -> DataFrame:
+            """About n rows by the hash of ``by``. Rows are thinned out first, so that not
+            every partition sends n of them."""
+            thin = d.where(F.pmod(F.xxhash64(*by), F.lit(max(1, of // (8 * n)))) == 0)
+            return thin.orderBy(F.xxhash64(F.lit(1), *by), *by).limit(n)
+
+        few = min(sample, 800)
+        bodies = [r["text"] for r in take(plain, ["record_id", "record_table"], few, total).select("text").collect()]
+        heads = titles.where("length(title) > 20").select("title", "venue")
+        heads = take(heads, ["title", "venue"], sample, titles.count()).distinct().collect()
+        of = self.vocabulary.count()
         self.header, self.page = fit_lines(bodies, [r[0] for r in heads], sorted({r[1] for r in heads if r[1]}))
         common = self.vocabulary.where("n >= 5 and word rlike '^\\\\p{L}{4,}$'")
-        words = [(r[0], r[1]) for r in take(common, ["word"], sample).collect()]
+        words = [(r[0], r[1]) for r in take(common, ["word"], sample, of // 4).collect()]
         two = self.vocabulary.where("n >= 2 and word rlike '^\\\\p{L}{2,}(-\\\\p{L}{2,})+$'").withColumn("joined", F.regexp_replace("word", "-", ""))
-        two = take(two, ["word"], sample).join(self.vocabulary.select(F.col("word").alias("joined"), F.col("n").alias("nj")), "joined", "left")
+        two = take(two, ["word"], sample, of // 100).join(self.vocabulary.select(F.col("word").alias("joined"), F.col("n").alias("nj")), "joined", "left")
         compounds = [(r["word"], r["n"], r["nj"] or 0) for r in two.select("word", "n", "nj").collect()]
         self.ranking, self.joining = fit_words(words), fit_breaks(words, compounds)
         header, page = self.header, self.page
