@@ -163,19 +163,21 @@ def r9_hybrid_retrieve(spark, folder):
     return H.retrieve(L.asking(c), c, 8, 600, L.DIM)
 
 
-@query(f"""with recursive {_C.strip()},
-i as (select paper_id, id, greatest(1, length(text) // 4) + 15 as cost, row_number() over (partition by paper_id order by importance desc, chunk_index, id) as r from c where valid and chunk_type in ('abstract', 'introduction') and length(text) > 0 and paper_id <> 1),
-w as (select paper_id, id, r, case when cost <= 400 then cost else 0 end as used, cost <= 400 as kept from i where r = 1
-  union all select i.paper_id, i.id, i.r, case when w.used + i.cost <= 400 then w.used + i.cost else w.used end, w.used + i.cost <= 400 from w join i on i.paper_id = w.paper_id and i.r = w.r + 1)
-select paper_id, id from w where kept""")
+@query(f"""with recursive {_C.strip()}, {_D}, {_K},
+j as (select f.qid, f.id, f.rrf, c.paper_id, c.chunk_index, c.text from f join c using (id) where length(c.text) > 0),
+p as (select *, row_number() over (partition by qid, paper_id order by rrf desc, paper_id, chunk_index, id) as n from j),
+t as (select *, row_number() over (partition by qid order by rrf desc, paper_id, chunk_index, id) as r from p where n <= 3),
+i as (select qid, id, r, greatest(1, length(text) // 4) + 15 as cost from t where r <= 8),
+w as (select qid, id, r, case when cost <= 400 then cost else 0 end as used, cost <= 400 as kept from i where r = 1
+  union all select i.qid, i.id, i.r, case when w.used + i.cost <= 400 then w.used + i.cost else w.used end, w.used + i.cost <= 400 from w join i on i.qid = w.qid and i.r = w.r + 1)
+select qid, id from w where kept""")
 def w6_greedy_packing(spark, folder):
-    """Per paper the abstract and introduction chunks that fit 400 tokens, greedily; the
-    one paper that holds a tenth of all chunks is no paper of that kind and left to
-    ``retrieve``, whose groups are bounded."""
-    c = L.chunks(spark, folder).where("valid and length(text) > 0 and paper_id <> 1").where(F.col("chunk_type").isin("abstract", "introduction"))
-    one = F.struct((-F.col("importance")).alias("o"), "chunk_index", "id", (T.token_estimate(F.col("text")) + 15).alias("cost"))
-    g = c.groupBy("paper_id").agg(F.array_sort(F.collect_list(one)).alias("items"))
-    return g.select("paper_id", F.explode(H.greedy(F.col("items"), "cost", F.lit(400))).alias("x")).select("paper_id", "x.id")
+    """Of each question's eight best chunks those that fit 400 tokens, greedily."""
+    c = L.chunks(spark, folder).where("valid")
+    best = H.capped(_fused(c)[1], c, 8)
+    one = F.struct("place", "id", (T.token_estimate(F.col("text")) + 15).alias("cost"))
+    g = best.groupBy("qid").agg(F.array_sort(F.collect_list(one)).alias("items"))
+    return g.select("qid", F.explode(H.greedy(F.col("items"), "cost", F.lit(400))).alias("x")).select("qid", "x.id")
 
 
 _KEY = "case " + " ".join(f"when contains(n, '{k}') then '{k}'" for k in T.SECTION_BUDGETS if k != "_other") + " else '_other' end"
