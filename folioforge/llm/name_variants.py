@@ -28,9 +28,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioforge.llm.names_text import author_names, fold
 from folioforge.plans.components import connected_components
@@ -176,8 +178,7 @@ CHANGED = 4
 def similar_words(words: DataFrame) -> DataFrame:
     """(a, b), both ways, of words (word, n) that share all but CHANGED grams and are
     one edit apart."""
-    gram = F.udf(grams, "array<string>")  # on distinct words only
-    sets = words.where("length(word) >= 4").select("word", "n", gram("word").alias("g"))
+    sets = cut(words.where("length(word) >= 4").select("word", "n", _gram_sets("word").alias("g")))
     flat = sets.select("word", F.explode("g").alias("gram"))
     order = flat.groupBy("gram").agg(F.count("*").alias("f"))
     ranked = flat.join(order, "gram").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("r"))
@@ -192,9 +193,15 @@ def similar_words(words: DataFrame) -> DataFrame:
     return near.union(near.select("b", "a", "nb", "na"))
 
 
-def _given(word: F.Column) -> F.Column:
-    table_ = F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table_, word), word)
+@F.pandas_udf(T.StringType())
+def _given(words: pd.Series) -> pd.Series:
+    """The given name that a nickname stands for; a literal map would swell every plan."""
+    return words.map(lambda w: NICKNAMES.get(w, w), na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _gram_sets(words: pd.Series) -> pd.Series:
+    return words.map(grams)
 
 
 def entities(mentions: DataFrame, much: float = 4.0, share: float = 0.75) -> DataFrame:
@@ -230,13 +237,13 @@ def entities(mentions: DataFrame, much: float = 4.0, share: float = 0.75) -> Dat
     first = (F.col("form") == "first") | F.coalesce("turned", F.lit(False)) | (F.col("form") == "alone")
     people = people.select(
         "spelling", "n", F.when(first, F.element_at("words", 1)).otherwise(F.element_at("words", -1)).alias("family"),
-        F.when(F.size("words") > 1, _given(F.when(first, F.element_at("words", 2)).otherwise(F.element_at("words", 1)))).alias("given"),
+        F.when(F.size("words") > 1, F.when(first, F.element_at("words", 2)).otherwise(F.element_at("words", 1))).alias("given"),
         F.coalesce(F.try_element_at("short", F.lit(1)), F.try_element_at("initials", F.lit(1))).alias("start"),
         F.when(F.size("words") > 1, F.try_element_at("initials", F.lit(1))).otherwise(
             F.when(F.size("short") > 0, F.try_element_at("initials", F.lit(1))).otherwise(F.try_element_at("initials", F.lit(2)))
         ).alias("middle"),
     )
-    people = cut(people)
+    people = cut(people.withColumn("given", _given("given")))
     named = people.where("given is not null")
     # people of one family and given name are told apart by middle initials, if these differ
     persons = named.groupBy("family", "given").agg(F.sum("n").alias("n"), F.collect_set("middle").alias("middles"))
@@ -249,6 +256,7 @@ def entities(mentions: DataFrame, much: float = 4.0, share: float = 0.75) -> Dat
     )
     entity = lambda g, m: F.concat_ws("|", F.lit("p"), "family", g, m)
     full = full.select("spelling", entity(F.col("given"), F.coalesce("m", F.lit(""))).alias("entity"), "family", "given")
+    known = cut(known)
     # initials and short forms: the person of the family whom they fit, if one prevails
     bare = people.where("given is null and start is not null")
     askers = bare.select("family", "start", "middle").distinct()
@@ -268,6 +276,7 @@ def entities(mentions: DataFrame, much: float = 4.0, share: float = 0.75) -> Dat
     bare = bare.withColumn("i", F.col("start").substr(1, 1)).join(rival, ["family", "i"], "left")
     alone_ = F.when(F.col("rival"), F.concat(F.lit("s|"), F.col("spelling"))).otherwise(own)
     bare = bare.select("spelling", F.when(several, alone_).otherwise(F.col("entity")).alias("entity"), "family", "i", several.alias("loose"))
+    bare = cut(bare)
 
     # the same person under a misspelt family name: one edit apart, given names that agree
     nodes = full.select("entity", "family", "given").distinct()
@@ -276,13 +285,12 @@ def entities(mentions: DataFrame, much: float = 4.0, share: float = 0.75) -> Dat
     there = lambda d: d.select(F.col("entity").alias("entity2"), F.col("family").alias("other"), *[F.col(c) for c in d.columns[2:]])
     same = nodes.join(near, "family").join(there(nodes), ["other", "given"]).select(F.col("entity").alias("a"), F.col("entity2").alias("b"))
     same = same.union(loose.join(near, "family").join(there(loose), ["other", "i"]).select("entity", "entity2"))
-    same = cut(same)
-    whole = connected_components(same).select(F.col("node").alias("entity2"), "component")
-    fits = loose.join(near, "family").join(there(nodes), "other").where("startswith(given, i)").join(whole, "entity2", "left")
-    # a loose initial takes the only person of a similar family name that it fits
-    person = F.coalesce("component", "entity2")
-    only = fits.groupBy("entity").agg(F.min(person).alias("x"), F.max(person).alias("y")).where("x = y").select("entity", "x")
-    tied = connected_components(same.union(only)).select(F.col("node").alias("entity"), "component")
+    # a loose initial takes the people of similar family names that it fits, if they
+    # share one given name
+    fits = loose.join(near, "family").join(there(nodes), "other").where("startswith(given, i)")
+    only = fits.groupBy("entity").agg(F.min("given").alias("x"), F.max("given").alias("y"), F.min("entity2").alias("b")).where("x = y")
+    same = cut(same.union(only.select("entity", "b")))
+    tied = connected_components(same).select(F.col("node").alias("entity"), "component")
     out = full.select("spelling", "entity").union(bare.select("spelling", "entity")).join(tied, "entity", "left")
     return groups.union(out.select("spelling", F.coalesce("component", "entity").alias("entity")))
 
@@ -330,6 +338,7 @@ def linked_spellings(mentions: DataFrame, least: float = 0.6) -> DataFrame:
     flat = owners.select("spelling", word)
     weight = flat.groupBy("word").agg(F.log(F.lit(1.0 + total) / F.count("*")).alias("w"))
     weights = flat.join(weight, "word").groupBy("spelling").agg(F.map_from_entries(F.collect_set(F.struct("word", "w"))).alias("ws"))
+    weights, pairs = cut(weights), cut(pairs)
     for s in "ab":
         pairs = pairs.join(weights.select(F.col("spelling").alias(s), F.col("ws").alias(f"w{s}")), s, "left")
     checked = pairs.select("a", "b", "wa", "wb").mapInArrow(lambda it: _verify(it, least), "a string, b string")
