@@ -106,7 +106,7 @@ def test_boosting_learns():
 
 def scanned_corpus(spark):
     rng = random.Random(6)
-    words = "station measured seasons northern conductivity tracking glacier polymer attenuation together seismic method latency density variance stream".split()
+    words = "station measured seasons northern conductivity tracking glacier polymer attenuation together seismic method latency density variance stream estimate recordings laboratory permeability hospital sampling baseline uncertainty landscape sediment temperature instrument long-range data-driven short-term open-ended".split()
     clean = [" ".join(rng.choice(words) for _ in range(60)).capitalize() + "." for _ in range(120)]
     rows = [("t", i, x, "", 0) for i, x in enumerate(clean, 1)]
     page = ["We measured the conduc-", "tivity of the northern glacier", "- 247 -", "in all seasons with the seismic", "TRACKING OF POLYMER LATENCY IN NORTHERN GLACIER STREAMS", "method. The attenuati0n was measured", "well-", "known density and the variance."]
