@@ -119,22 +119,42 @@ def _sign(batches: Iterator[pa.RecordBatch], planes: np.ndarray, centre: np.ndar
         )
 
 
-def _gather(own: np.ndarray, z: np.ndarray, grp: np.ndarray, others: np.ndarray, keep: int, least: float, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For the places ``own`` (ascending), the best ``keep`` among ``others`` within
-    ``window`` places of others: (place, places found, similarities)."""
-    at = np.searchsorted(others, own)
-    for s in range(0, len(own), BLOCK):
-        rows = own[s : s + BLOCK]
-        a, b = max(0, at[s] - window), min(len(others), at[min(s + BLOCK, len(own)) - 1] + 1 + window)
-        if b - a > 16 * (BLOCK + 2 * window):  # sparse askers: their ranges lie far apart
-            pieces = [(i, max(0, at[i] - window), min(len(others), at[i] + 1 + window)) for i in range(s, s + len(rows))]
+def _bounds(at: np.ndarray, asked: np.ndarray, grp: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For askers at the places ``at`` among rows of the groups ``grp``, the ranges that
+    hold ``window`` rows of groups other than ``asked`` on either side, or all there are."""
+    n = len(grp)
+    code = np.unique(np.concatenate([grp, asked]), return_inverse=True)[1].astype(np.int64) * (n + 1)
+    mine, asks = code[:n], code[n:]
+    order = np.argsort(mine, kind="stable")
+    first = np.searchsorted(mine[order], mine[order])
+    places = mine[order] + order
+    strangers = places - (np.arange(n) - first)  # rows of other groups before each row
+    start, end = np.searchsorted(mine[order], asks), np.searchsorted(mine[order], asks, side="right")
+    before = at - (np.searchsorted(places, asks + at) - start)
+
+    def place(rank: np.ndarray) -> np.ndarray:
+        return rank + np.searchsorted(strangers, asks + rank, side="right") - start
+
+    left, right = before - window, before + window - 1
+    a = np.where(left < 0, 0, place(np.maximum(left, 0)))
+    b = np.where(right >= n - (end - start), n, place(np.minimum(right, n - 1)) + 1)
+    return a, b
+
+
+def _gather(ask: np.ndarray, a: np.ndarray, b: np.ndarray, z: np.ndarray, grp: np.ndarray, cid: np.ndarray, c: np.ndarray, keep: int, least: float, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For the rows ``ask``, the best ``keep`` of other groups and classes in the ranges
+    ``a`` to ``b`` of the rows ``c``: (row, rows found, similarities)."""
+    for s in range(0, len(ask), BLOCK):
+        e = min(s + BLOCK, len(ask))
+        low, high = a[s:e].min(), b[s:e].max()
+        if high - low > 16 * (BLOCK + 2 * window):  # sparse askers: their ranges lie far apart
+            pieces = [(i, i + 1, a[i], b[i]) for i in range(s, e)]
         else:
-            pieces = [(None, a, b)]
-        for one, a, b in pieces:
-            r = rows if one is None else own[one : one + 1]
-            c = others[a:b]
-            sim = z[r] @ z[c].T
-            sim[grp[r, None] == grp[None, c]] = -2
+            pieces = [(s, e, low, high)]
+        for x0, x1, low, high in pieces:
+            r, near = ask[x0:x1], c[low:high]
+            sim = z[r] @ z[near].T
+            sim[(grp[r, None] == grp[None, near]) | (cid[r, None] == cid[None, near])] = -2
             if least > -1:
                 some, what = np.nonzero(sim >= least)
                 if not len(some):
@@ -146,7 +166,7 @@ def _gather(own: np.ndarray, z: np.ndarray, grp: np.ndarray, others: np.ndarray,
                     if len(cols) > keep:
                         best = np.argpartition(-v, keep - 1)[:keep]
                         cols, v = cols[best], v[best]
-                    yield r[some[x]], c[cols], v
+                    yield r[some[x]], near[cols], v
             elif sim.shape[1]:
                 k = min(keep, sim.shape[1])
                 best = np.argpartition(-sim, k - 1, axis=1)[:, :k] if k < sim.shape[1] else np.tile(np.arange(k), (len(r), 1))
@@ -154,7 +174,24 @@ def _gather(own: np.ndarray, z: np.ndarray, grp: np.ndarray, others: np.ndarray,
                 for i in range(len(r)):
                     ok = v[i] > -2
                     if ok.any():
-                        yield r[i], c[best[i][ok]], v[i][ok]
+                        yield r[i], near[best[i][ok]], v[i][ok]
+
+
+def _search(z: np.ndarray, grp: np.ndarray, cid: np.ndarray, asks: np.ndarray, shown: np.ndarray, keep: int, least: float, window: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """What the asking rows of a sorted array find among those shown. Every range holds
+    ``window`` rows of other groups on either side, however many of its own stand there."""
+    own, c = np.flatnonzero(asks), np.flatnonzero(shown)
+    a, b = _bounds(np.searchsorted(c, own), grp[own], grp[c], window)
+    wide = b - a > 4 * window  # own rows fill these: they are left out before the products
+    found = list(_gather(own[~wide], a[~wide], b[~wide], z, grp, cid, c, keep, least, window))
+    crowd = own[wide]
+    crowd = crowd[np.argsort(grp[crowd], kind="stable")]
+    for mine in np.split(crowd, np.flatnonzero(np.diff(grp[crowd])) + 1):
+        if len(mine):
+            others = c[grp[c] != grp[mine[0]]]
+            at = np.searchsorted(others, mine)
+            found += _gather(mine, np.maximum(at - window, 0), np.minimum(at + window, len(others)), z, grp, cid, others, keep, least, window)
+    return found
 
 
 def _ascend(batches: Iterator[pa.RecordBatch], keep: int, least: float, window: int, dim: int) -> Iterator[pa.RecordBatch]:
@@ -164,7 +201,7 @@ def _ascend(batches: Iterator[pa.RecordBatch], keep: int, least: float, window:
         return
     t = pa.Table.from_batches(got).combine_chunks()
     trees, cids, grps = (t[c].to_numpy() for c in ("tree", "cid", "grp"))
-    asks = t["asks"].to_numpy(zero_copy_only=False)
+    asks, shown = (t[c].to_numpy(zero_copy_only=False) for c in ("asks", "shown"))
     packed = t["q"].combine_chunks()
     q = np.frombuffer(packed.buffers()[2], dtype=np.int8, count=t.num_rows * dim, offset=packed.offset * dim).reshape(-1, dim)
     for tree in np.unique(trees):
@@ -172,23 +209,19 @@ def _ascend(batches: Iterator[pa.RecordBatch], keep: int, least: float, window:
         z = q[lo:hi].astype(np.float32)
         z /= np.linalg.norm(z, axis=1, keepdims=True)
         cid, grp = cids[lo:hi], grps[lo:hi]
-        every, own = np.arange(hi - lo), np.flatnonzero(asks[lo:hi])
-        found = list(_gather(own, z, grp, every, keep, least, window))
-        names, counts = np.unique(grp, return_counts=True)
-        for g in names[counts > max(window // 2, (hi - lo) // 10)]:  # a hot group fills its rows' windows with itself
-            mine = own[grp[own] == g]
-            if len(mine):
-                found += _gather(mine, z, grp, np.flatnonzero(grp != g), keep, least, window)
+        found = _search(z, grp, cid, asks[lo:hi], shown[lo:hi], keep, least, window)
         for s in range(0, len(found), 20_000):
             part = found[s : s + 20_000]
             n = np.fromiter((len(x[1]) for x in part), np.int64, len(part))
+            of = np.repeat(np.fromiter((x[0] for x in part), np.int64, len(part)), n)
             yield pa.record_batch(
                 [
-                    pa.array(np.repeat(cid[np.fromiter((x[0] for x in part), np.int64, len(part))], n)),
+                    pa.array(cid[of]),
+                    pa.array(grp[of]),
                     pa.array(cid[np.concatenate([x[1] for x in part])]),
                     pa.array(np.concatenate([x[2] for x in part]).astype(np.float32)),
                 ],
-                names=["cid", "near", "approx"],
+                names=["cid", "view", "near", "approx"],
             )
 
 
@@ -228,19 +261,26 @@ def most_similar(rows: DataFrame, k: int = 5, *, dim: int = 64, min_similarity:
         )
     )
     size = classes.count()
-    entries = classes.select(
-        F.posexplode("keys").alias("tree", "key"), "cid", "asks", "q",
-        F.when(F.col("g0") == F.col("g1"), F.col("g0")).otherwise(F.lit(-(2**62)) - F.col("cid")).alias("grp"),
-    )
+    several = classes.where("cid <> last").select("h1", "h2", "cid")
+    copies = hashed.select("h1", "h2", "id", "grp").join(several, ["h1", "h2"]).select("cid", "id", "grp").distinct()
+    # a class of several groups asks once more for each group that has fewer than k of
+    # the class outside itself (nine groups at most), past that group's rows
+    shares = copies.groupBy("cid", "grp").agg(F.count("*").alias("m"), F.bool_or(F.coalesce(ask, F.lit(False))).alias("asks"))
+    sizes = copies.groupBy("cid").agg(F.count("*").alias("n"))
+    views = shares.join(sizes, "cid").where(F.col("asks") & (F.col("n") > F.col("m")) & (F.col("n") - F.col("m") < k)).select("cid", "grp")
+    shared = F.lit(-(2**62)) - F.col("cid")
+    rows_of = classes.select("cid", "asks", "q", "keys", F.lit(True).alias("shown"), F.when(F.col("g0") == F.col("g1"), F.col("g0")).otherwise(shared).alias("grp"))
+    views_of = classes.select("cid", F.lit(True).alias("asks"), "q", "keys", F.lit(False).alias("shown")).join(views, "cid")
+    entries = rows_of.unionByName(views_of).select(F.posexplode("keys").alias("tree", "key"), "cid", "asks", "shown", "q", "grp")
     keep, least, window = 2 * k + 2, (min_similarity - MARGIN if min_similarity > -1 else -1.0), forest.window
     near = (
         entries.repartitionByRange(max(1, -(-size * trees // forest.rows_per_task)), "tree", "key", "cid")
         .sortWithinPartitions("tree", "key", "cid")
-        .mapInArrow(lambda it: _ascend(it, keep, least, window, dim), "cid bigint, near bigint, approx float")
+        .mapInArrow(lambda it: _ascend(it, keep, least, window, dim), "cid bigint, view bigint, near bigint, approx float")
     )
-    near = near.groupBy("cid", "near").agg(F.max("approx").alias("approx"))
-    best = W.partitionBy("cid").orderBy(F.desc("approx"), "near")
-    near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep).select("cid", "near")
+    near = near.repartition("cid").groupBy("cid", "view", "near").agg(F.max("approx").alias("approx"))
+    best = W.partitionBy("cid", "view").orderBy(F.desc("approx"), "near")
+    near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep).select("cid", "near").distinct()
 
     # the exact check, on the vectors of rows that have candidates only
     wanted = near.select("cid").union(near.select(F.col("near").alias("cid"))).distinct()
@@ -251,8 +291,6 @@ def most_similar(rows: DataFrame, k: int = 5, *, dim: int = 64, min_similarity:
     )
 
     # rows of classes: single ones stand for themselves, others keep a bounded list
-    several = classes.where("cid <> last").select("h1", "h2", "cid")
-    copies = hashed.select("h1", "h2", "id", "grp").join(several, ["h1", "h2"]).select("cid", "id", "grp").distinct()
     heads = (
         copies.withColumn("r", F.row_number().over(W.partitionBy("cid", "grp").orderBy("id"))).where(F.col("r") <= 5)
         .withColumn("m", F.row_number().over(W.partitionBy("cid").orderBy("id"))).where("m <= 10").select("cid", "id", "grp")
