@@ -1,16 +1,18 @@
 """Problem 1: the k most similar vectors of other groups for every vector.
 
 Method: a forest of hash-prefix trees. A tree hashes a vector to a string of 60
-sign bits; a tree is the array of all rows sorted by that string. A row descends
-to its place in the array, where its longest-prefix matches stand next to it, and
-then ascends all trees in step: in every tree the range around its place widens,
-through shorter and shorter common prefixes, until ``window`` rows on either side
-are gathered. Rows gathered are compared on vectors quantised to one byte a number;
-the best of all trees are merged and checked on the full vectors.
+sign bits; a tree is the array of all rows sorted by that string, equal strings by a
+hash of tree and id, so that trees show different ones of them. A row's longest-prefix
+matches stand next to its place in the array; in every tree ``window`` rows of other
+groups are gathered on either side of it. This is a fixed count for each tree: common
+prefixes are not measured and trees do not widen in step, see the README. Rows
+gathered are compared on vectors quantised to one byte a number, with the error of
+each; all that may be among the k best are merged and checked on the full vectors.
 
 Scale: the sorted arrays are range partitions of one shuffle of T small records a
-row (key, id, group, 64 bytes). A range partition's bounds include the row id, so
-equal hash strings are split too. Rows with bit-equal vectors are one class and
+row (key, id, group, 64 bytes). A range partition's bounds include the hash of the id,
+so equal hash strings are split too. Rows at the partitions' bounds are gathered once
+more, from both sides. Rows with bit-equal vectors are one class and
 travel once; a class keeps the ten smallest ids with at most five of one group,
 from which the five smallest ids outside any group can always be read.
 
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
@@ -37,8 +40,6 @@ from folioforge.sources.tables import table
 BITS = 60
 #: Positions of one tree that are compared at once.
 BLOCK = 256
-#: The quantised similarity is off by at most about this; candidates keep that margin.
-MARGIN = 0.01
 
 
 @dataclass(frozen=True)
@@ -106,6 +107,8 @@ def _sign(batches: Iterator[pa.RecordBatch], planes: np.ndarray, centre: np.ndar
         keys = (high.astype(np.int64) << half) | low.astype(np.int64)
         top = np.abs(m).max(axis=1, keepdims=True)
         q = np.rint(m / top * 127).astype(np.int8)
+        # what quantising moves the unit vector by, with room for float32 products
+        off = np.linalg.norm(m - q / np.linalg.norm(q.astype(np.float32), axis=1, keepdims=True), axis=1) + 1e-5
         yield pa.record_batch(
             [
                 batch.column("id"),
@@ -113,9 +116,10 @@ def _sign(batches: Iterator[pa.RecordBatch], planes: np.ndarray, centre: np.ndar
                 batch.column("h1"),
                 batch.column("h2"),
                 pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), n, [None, pa.py_buffer(np.ascontiguousarray(q).tobytes())]).cast(pa.binary()),
+                pa.array(off.astype(np.float32)),
                 pa.ListArray.from_arrays(np.arange(0, n * trees + 1, trees, dtype=np.int32), pa.array(keys.reshape(-1))),
             ],
-            names=["id", "grp", "h1", "h2", "q", "keys"],
+            names=["id", "grp", "h1", "h2", "q", "off", "keys"],
         )
 
 
@@ -141,9 +145,10 @@ def _bounds(at: np.ndarray, asked: np.ndarray, grp: np.ndarray, window: int) ->
     return a, b
 
 
-def _gather(ask: np.ndarray, a: np.ndarray, b: np.ndarray, z: np.ndarray, grp: np.ndarray, cid: np.ndarray, c: np.ndarray, keep: int, least: float, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For the rows ``ask``, the best ``keep`` of other groups and classes in the ranges
-    ``a`` to ``b`` of the rows ``c``: (row, rows found, similarities)."""
+def _gather(ask: np.ndarray, a: np.ndarray, b: np.ndarray, z: np.ndarray, off: np.ndarray, grp: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, least: float, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For the rows ``ask``, those of other groups and classes in the ranges ``a`` to
+    ``b`` of the rows ``c`` that may be among the best ``k`` and reach ``least``, by the
+    bounds of their similarity: (row, rows found, quantised similarities)."""
     for s in range(0, len(ask), BLOCK):
         e = min(s + BLOCK, len(ask))
         low, high = a[s:e].min(), b[s:e].max()
@@ -154,53 +159,49 @@ def _gather(ask: np.ndarray, a: np.ndarray, b: np.ndarray, z: np.ndarray, grp: n
         for x0, x1, low, high in pieces:
             r, near = ask[x0:x1], c[low:high]
             sim = z[r] @ z[near].T
-            sim[(grp[r, None] == grp[None, near]) | (cid[r, None] == cid[None, near])] = -2
-            if least > -1:
-                some, what = np.nonzero(sim >= least)
-                if not len(some):
-                    continue
-                starts = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
-                for x, y in zip(starts, np.r_[starts[1:], len(some)], strict=True):
-                    cols = what[x:y]
-                    v = sim[some[x], cols]
-                    if len(cols) > keep:
-                        best = np.argpartition(-v, keep - 1)[:keep]
-                        cols, v = cols[best], v[best]
-                    yield r[some[x]], near[cols], v
-            elif sim.shape[1]:
-                k = min(keep, sim.shape[1])
-                best = np.argpartition(-sim, k - 1, axis=1)[:, :k] if k < sim.shape[1] else np.tile(np.arange(k), (len(r), 1))
-                v = np.take_along_axis(sim, best, axis=1)
-                for i in range(len(r)):
-                    ok = v[i] > -2
-                    if ok.any():
-                        yield r[i], near[best[i][ok]], v[i][ok]
-
-
-def _search(z: np.ndarray, grp: np.ndarray, cid: np.ndarray, asks: np.ndarray, shown: np.ndarray, keep: int, least: float, window: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+            sim[(grp[r, None] == grp[None, near]) | (cid[r, None] == cid[None, near])] = -4
+            floor = np.full(len(r), max(least, -1.5), np.float32)
+            if least <= -1 and len(near) > k:
+                floor = np.maximum(floor, -np.partition(off[None, near] - sim, k - 1, axis=1)[:, k - 1] - off[r])
+            some, what = np.nonzero(sim + off[None, near] >= (floor - off[r])[:, None])
+            if not len(some):
+                continue
+            starts = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+            for x, y in zip(starts, np.r_[starts[1:], len(some)], strict=True):
+                cols = what[x:y]
+                v = sim[some[x], cols]
+                if len(cols) > k:
+                    o = off[near[cols]]
+                    ok = v + o >= -np.partition(o - v, k - 1)[k - 1] - 2 * off[r[some[x]]]
+                    cols, v = cols[ok], v[ok]
+                yield r[some[x]], near[cols], v
+
+
+def _search(z: np.ndarray, off: np.ndarray, grp: np.ndarray, cid: np.ndarray, asks: np.ndarray, shown: np.ndarray, k: int, least: float, window: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """What the asking rows of a sorted array find among those shown. Every range holds
     ``window`` rows of other groups on either side, however many of its own stand there."""
     own, c = np.flatnonzero(asks), np.flatnonzero(shown)
     a, b = _bounds(np.searchsorted(c, own), grp[own], grp[c], window)
     wide = b - a > 4 * window  # own rows fill these: they are left out before the products
-    found = list(_gather(own[~wide], a[~wide], b[~wide], z, grp, cid, c, keep, least, window))
+    found = list(_gather(own[~wide], a[~wide], b[~wide], z, off, grp, cid, c, k, least, window))
     crowd = own[wide]
     crowd = crowd[np.argsort(grp[crowd], kind="stable")]
     for mine in np.split(crowd, np.flatnonzero(np.diff(grp[crowd])) + 1):
         if len(mine):
             others = c[grp[c] != grp[mine[0]]]
             at = np.searchsorted(others, mine)
-            found += _gather(mine, np.maximum(at - window, 0), np.minimum(at + window, len(others)), z, grp, cid, others, keep, least, window)
+            found += _gather(mine, np.maximum(at - window, 0), np.minimum(at + window, len(others)), z, off, grp, cid, others, k, least, window)
     return found
 
 
-def _ascend(batches: Iterator[pa.RecordBatch], keep: int, least: float, window: int, dim: int) -> Iterator[pa.RecordBatch]:
-    """One range partition of one or more trees, sorted by (tree, key, cid)."""
+def _ascend(batches: Iterator[pa.RecordBatch], k: int, least: float, window: int, dim: int) -> Iterator[pa.RecordBatch]:
+    """One range partition of one or more trees, each in order: the bounds of the
+    similarity to what its asking rows may have among their best ``k``."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     t = pa.Table.from_batches(got).combine_chunks()
-    trees, cids, grps = (t[c].to_numpy() for c in ("tree", "cid", "grp"))
+    trees, cids, grps, offs = (t[c].to_numpy() for c in ("tree", "cid", "grp", "off"))
     asks, shown = (t[c].to_numpy(zero_copy_only=False) for c in ("asks", "shown"))
     packed = t["q"].combine_chunks()
     q = np.frombuffer(packed.buffers()[2], dtype=np.int8, count=t.num_rows * dim, offset=packed.offset * dim).reshape(-1, dim)
@@ -208,23 +209,54 @@ def _ascend(batches: Iterator[pa.RecordBatch], keep: int, least: float, window:
         lo, hi = np.searchsorted(trees, [tree, tree + 1])
         z = q[lo:hi].astype(np.float32)
         z /= np.linalg.norm(z, axis=1, keepdims=True)
-        cid, grp = cids[lo:hi], grps[lo:hi]
-        found = _search(z, grp, cid, asks[lo:hi], shown[lo:hi], keep, least, window)
+        cid, grp, off = cids[lo:hi], grps[lo:hi], offs[lo:hi]
+        found = _search(z, off, grp, cid, asks[lo:hi], shown[lo:hi], k, least, window)
         for s in range(0, len(found), 20_000):
             part = found[s : s + 20_000]
             n = np.fromiter((len(x[1]) for x in part), np.int64, len(part))
             of = np.repeat(np.fromiter((x[0] for x in part), np.int64, len(part)), n)
+            to, sim = np.concatenate([x[1] for x in part]), np.concatenate([x[2] for x in part])
             yield pa.record_batch(
                 [
                     pa.array(cid[of]),
                     pa.array(grp[of]),
-                    pa.array(cid[np.concatenate([x[1] for x in part])]),
-                    pa.array(np.concatenate([x[2] for x in part]).astype(np.float32)),
+                    pa.array(cid[to]),
+                    pa.array((sim - off[of] - off[to]).astype(np.float32)),
+                    pa.array((sim + off[of] + off[to]).astype(np.float32)),
                 ],
-                names=["cid", "view", "near", "approx"],
+                names=["cid", "view", "near", "low", "high"],
             )
 
 
+def _edge(grp: np.ndarray, shown: np.ndarray, window: int) -> int:
+    """How many rows from the start hold ``window`` shown rows outside any one group."""
+    n = 2 * window
+    while n < len(grp):
+        some = grp[:n][shown[:n]]
+        if len(some) and len(some) - np.unique(some, return_counts=True)[1].max() >= window:
+            break
+        n *= 2
+    return min(n, len(grp))
+
+
+def _edges(batches: Iterator[pa.RecordBatch], window: int, many: int) -> Iterator[pa.RecordBatch]:
+    """The first and last rows of a range partition, for the seams with the partitions
+    before and after it: ``tree`` tells seam and tree, ``pos`` the place in the order."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t, here = pa.Table.from_batches(got).combine_chunks(), TaskContext.get().partitionId()
+    tree, grp = t["tree"].to_numpy(), t["grp"].to_numpy()
+    shown = t["shown"].to_numpy(zero_copy_only=False)
+    first, last = np.searchsorted(tree, tree[0], side="right"), np.searchsorted(tree, tree[-1])
+    start = np.arange(_edge(grp[:first], shown[:first], window))
+    end = np.arange(len(tree) - _edge(grp[last:][::-1], shown[last:][::-1], window), len(tree))
+    for seam, rows in ((here, start), (here + 1, end)):
+        part = t.take(pa.array(rows)).drop_columns(["tree", "key"])
+        part = part.append_column("tree", pa.array(seam * many + tree[rows].astype(np.int64))).append_column("pos", pa.array(here * 2**32 + rows))
+        yield from part.combine_chunks().to_batches()
+
+
 def _exact(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -250,14 +282,14 @@ def most_similar(rows: DataFrame, k: int = 5, *, dim: int = 64, min_similarity:
     planes, centre, trees = _planes(forest, dim), _centre(rows, total, forest, dim), forest.trees
     signed = hashed.mapInArrow(
         lambda it: _sign(it, planes, centre, trees, dim),
-        "id bigint, grp bigint, h1 bigint, h2 bigint, q binary, keys array<bigint>",
+        "id bigint, grp bigint, h1 bigint, h2 bigint, q binary, off float, keys array<bigint>",
     )
     # asking is a row's property; a class asks if one of its rows does
     ask = F.expr(asks)
     classes = cut(
         signed.groupBy("h1", "h2").agg(
             F.min("id").alias("cid"), F.max("id").alias("last"), F.min("grp").alias("g0"), F.max("grp").alias("g1"),
-            F.first("q").alias("q"), F.first("keys").alias("keys"), F.bool_or(F.coalesce(ask, F.lit(False))).alias("asks"),
+            F.first("q").alias("q"), F.first("off").alias("off"), F.first("keys").alias("keys"), F.bool_or(F.coalesce(ask, F.lit(False))).alias("asks"),
         )
     )
     size = classes.count()
@@ -269,18 +301,22 @@ def most_similar(rows: DataFrame, k: int = 5, *, dim: int = 64, min_similarity:
     sizes = copies.groupBy("cid").agg(F.count("*").alias("n"))
     views = shares.join(sizes, "cid").where(F.col("asks") & (F.col("n") > F.col("m")) & (F.col("n") - F.col("m") < k)).select("cid", "grp")
     shared = F.lit(-(2**62)) - F.col("cid")
-    rows_of = classes.select("cid", "asks", "q", "keys", F.lit(True).alias("shown"), F.when(F.col("g0") == F.col("g1"), F.col("g0")).otherwise(shared).alias("grp"))
-    views_of = classes.select("cid", F.lit(True).alias("asks"), "q", "keys", F.lit(False).alias("shown")).join(views, "cid")
-    entries = rows_of.unionByName(views_of).select(F.posexplode("keys").alias("tree", "key"), "cid", "asks", "shown", "q", "grp")
-    keep, least, window = 2 * k + 2, (min_similarity - MARGIN if min_similarity > -1 else -1.0), forest.window
-    near = (
-        entries.repartitionByRange(max(1, -(-size * trees // forest.rows_per_task)), "tree", "key", "cid")
-        .sortWithinPartitions("tree", "key", "cid")
-        .mapInArrow(lambda it: _ascend(it, keep, least, window, dim), "cid bigint, view bigint, near bigint, approx float")
-    )
-    near = near.repartition("cid").groupBy("cid", "view", "near").agg(F.max("approx").alias("approx"))
-    best = W.partitionBy("cid", "view").orderBy(F.desc("approx"), "near")
-    near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep).select("cid", "near").distinct()
+    rows_of = classes.select("cid", "asks", "q", "off", "keys", F.lit(True).alias("shown"), F.when(F.col("g0") == F.col("g1"), F.col("g0")).otherwise(shared).alias("grp"))
+    views_of = classes.select("cid", F.lit(True).alias("asks"), "q", "off", "keys", F.lit(False).alias("shown")).join(views, "cid")
+    entries = rows_of.unionByName(views_of).select(F.posexplode("keys").alias("tree", "key"), "cid", "asks", "shown", "q", "off", "grp")
+    window, found = forest.window, "cid bigint, view bigint, near bigint, low float, high float"
+    # equal keys stand in another order in each tree, so that each shows other rows
+    order, ranges = ["tree", "key", F.xxhash64("tree", "cid")], max(1, -(-size * trees // forest.rows_per_task))
+    arrays = entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    near = arrays.mapInArrow(lambda it: _ascend(it, k, min_similarity, window, dim), found)
+    if ranges > 1:
+        edges = arrays.mapInArrow(lambda it: _edges(it, window, trees), "cid bigint, asks boolean, shown boolean, q binary, off float, grp bigint, tree bigint, pos bigint")
+        seams = edges.repartition("tree").sortWithinPartitions("tree", "pos")
+        near = near.unionByName(seams.mapInArrow(lambda it: _ascend(it, k, min_similarity, window, dim), found))
+    near = near.repartition("cid").groupBy("cid", "view", "near").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    whole = W.partitionBy("cid", "view").orderBy(F.desc("low")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    near = near.withColumn("kth", F.nth_value("low", k).over(whole)).where(F.col("kth").isNull() | (F.col("high") >= F.col("kth")))
+    near = cut(near.select("cid", "near").distinct())
 
     # the exact check, on the vectors of rows that have candidates only
     wanted = near.select("cid").union(near.select(F.col("near").alias("cid"))).distinct()
@@ -301,8 +337,8 @@ def most_similar(rows: DataFrame, k: int = 5, *, dim: int = 64, min_similarity:
     members = single.union(heads).select(F.col("cid").alias("near"), F.col("id").alias("near_id"), F.col("grp").alias("near_grp"))
     reach = scored.where(F.col("similarity") >= min_similarity)
     pairs = reach.join(members, "near").join(askers, "cid").where("grp <> near_grp and id <> near_id")
-    order = W.partitionBy("id").orderBy(F.desc("similarity"), "near_id")
-    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("id", "near_id", "similarity", "place")
+    best = W.partitionBy("id").orderBy(F.desc("similarity"), "near_id")
+    return pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("id", "near_id", "similarity", "place")
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,3 +40,20 @@ def test_a_copy_in_another_paper_leaves_the_crowd_its_neighbours(spark):
     far = np.flatnonzero(grp > 100)[: len(mine)]
     x[far] = x[mine]  # one copy each in a paper of its own: classes of two groups
     assert recall(spark, x, grp, mine) >= 0.98
+
+
+def test_near_copies_with_equal_keys(spark):
+    """Every tree shows other rows of equal keys, and one-byte ties are not cut."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    x[:900] = (x[0] + 0.001 * rng.standard_normal((900, 16))).astype(np.float32)
+    assert recall(spark, x, np.arange(3000), np.arange(0, 900, 5), neighbours.Forest(window=16)) >= 0.95
+
+
+def test_twins_at_the_bounds_of_range_partitions(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((1000, 32))
+    rows = [(2 * i + j, 2 * i + j, [float(v) * (1 + 1e-3 * j) for v in r], True) for i, r in enumerate(x) for j in (0, 1)]
+    forest = neighbours.Forest(trees=1, window=1, rows_per_task=43)
+    got = neighbours.most_similar(spark.createDataFrame(rows, VEC), 1, dim=32, min_similarity=0.99, forest=forest).collect()
+    assert {(r.id, r.near_id) for r in got} == {(i, i ^ 1) for i in range(2000)}
