@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries that are compared with a pass over the rows; a bound on what is sent out.
 BLOCK = 4096
+#: Exact distances that are taken at once; a bound on memory, however many are tied.
+PAIRS = 100_000
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -23,18 +25,25 @@ def _nearest(batches: Iterator[pa.RecordBatch], qids: np.ndarray, q: np.ndarray,
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = _matrix(batch.column("vec"), q.shape[1])
-        ids = batch.column("id").to_numpy()
+        # of equal vectors only the k least ids can be among the k nearest
+        x, ids = _matrix(batch.column("vec"), q.shape[1]) + 0.0, batch.column("id").to_numpy()
+        same = np.unique(np.ascontiguousarray(x).view(f"V{x.itemsize * x.shape[1]}").ravel(), return_inverse=True)[1]
+        order = np.lexsort((ids, same))
+        first = np.searchsorted(same[order], same[order])
+        mine = np.sort(order[np.arange(len(order)) - first < k])
+        x, ids = x[mine], ids[mine]
         for s in range(0, len(q), 512):
             part = q[s : s + 512]
-            near = (part**2).sum(1)[:, None] - 2 * part @ x.T + (x**2).sum(1)[None]
-            # one more than k, and exact distances for those kept, against rounding
-            n = min(k + 8, len(ids))
-            top = np.argpartition(near, n - 1, axis=1)[:, :n]
-            exact = ((part[:, None, :] - x[top]) ** 2).sum(axis=2)
-            order = np.lexsort((ids[top], np.round(exact, 6)), axis=1)[:, :k]
-            top, exact = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
-            best.append(pa.table({"qid": np.repeat(qids[s : s + 512], top.shape[1]), "id": ids[top].reshape(-1), "distance": np.round(exact, 6).reshape(-1)}))
+            size = (part**2).sum(1)[:, None] + (x**2).sum(1)[None]
+            near = size - 2 * part @ x.T
+            # all that may tie with the k-th once rounded, then exact distances for them
+            n = min(k, len(ids)) - 1
+            most = np.partition(near, n, axis=1)[:, n] + 2e-6 + 1e-12 * size.max(axis=1)
+            some, what = np.nonzero(~(near > most[:, None]))
+            for at in range(0, len(some), PAIRS):
+                i, j = some[at : at + PAIRS], what[at : at + PAIRS]
+                exact = ((part[i] - x[j]) ** 2).sum(axis=1)
+                best.append(_cut(pa.table({"qid": qids[s + i], "id": ids[j], "distance": np.round(exact, 6)}), k))
         if len(best) > 16:
             best = [_cut(pa.concat_tables(best), k)]
     if best:
