@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import SECTION_BUDGETS, section_budget, section_key, token_estimate
+from folioforge.functions.text import SECTION_BUDGETS, section_budget, section_key, token_estimate, tokens
+from folioforge.operators.lexical import K1, B
+
+#: Chunks that stand in for a section without a label, and parts in which a hot paper's are ranked first.
+STAND_INS, PARTS = 5, 32
 
 
 def section_names(chunks: DataFrame) -> DataFrame:
@@ -39,14 +45,48 @@ def structured_extract(chunks: DataFrame, budget: int = 2000) -> DataFrame:
     return s.withColumn("used", F.sum("cost").over(run)).where(F.col("used") <= budget).select("paper_id", "rank", F.col("key").alias("section_key"), "excerpt")
 
 
+def _stand_ins(chunks: DataFrame, name: str, size: int) -> DataFrame:
+    """(paper_id, excerpt): for each paper the five of its chunks that score best by
+    BM25 for the section's name, of those that hold one of its words, cut to ``size``.
+
+    Scores use the statistics of the one paper; ties go by chunk_index and id. Texts
+    are fetched for the chosen only, and the best are taken in parts first, so that a
+    hot paper is spread.
+    """
+    terms = re.sub(r"[^\w\s]", "", name.lower()).split()
+    if not terms:
+        return chunks.select("paper_id", F.lit("").alias("excerpt")).where("false")
+    tf = [f"tf{i}" for i in range(len(terms))]
+    c = chunks.select("paper_id", "id", "chunk_index", tokens(F.col("text")).alias("t")).select(
+        "paper_id", "id", "chunk_index", F.size("t").alias("len"),
+        *((F.size("t") - F.size(F.array_remove("t", w))).alias(f) for f, w in zip(tf, terms, strict=True)),
+    )
+    stats = c.groupBy("paper_id").agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f) > 0).alias(f"d{f}") for f in tf))
+    hits = c.where(F.greatest(*tf, F.lit(0)) > 0).join(stats, "paper_id")
+    score = F.lit(0.0)
+    for f in tf:
+        idf = F.log((F.col("n") - F.col(f"d{f}") + 0.5) / (F.col(f"d{f}") + 0.5) + 1)
+        score = score + idf * (F.col(f) * (K1 + 1) / (F.col(f) + K1 * (1 - B + B * F.col("len") / F.col("mean"))))
+    hits = hits.select("paper_id", "id", "chunk_index", score.alias("score"))
+    for keys in (["paper_id", F.pmod(F.xxhash64("id"), F.lit(PARTS))], ["paper_id"]):
+        best = W.partitionBy(*keys).orderBy(F.desc("score"), "chunk_index", "id")
+        hits = hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= STAND_INS)
+    texts = hits.select("paper_id", "id", "place").join(chunks.select("id", "text"), "id")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ")
+    return texts.groupBy("paper_id").agg(joined.alias("joined")).select("paper_id", F.substring(F.regexp_replace("joined", r"^\s+|\s+$", ""), 1, size).alias("excerpt"))
+
+
 def aligned_section(chunks: DataFrame, papers: DataFrame, name: str, budget: int = 600) -> DataFrame:
     """(paper_id, excerpt): side by side, the text of the section of that name for each
-    of papers (paper_id), or a note that it was not found."""
-    c = chunks.where("valid and length(text) > 0").where(F.contains(F.lower("section"), F.lit(name.lower())))
+    of papers (paper_id), or of its chunks that score best for the name if none carries
+    it, or a note that it was not found."""
+    usable = chunks.where("valid and length(text) > 0")
+    c = usable.where(F.contains(F.lower("section"), F.lit(name.lower())))
     c = c.withColumn("importance", F.coalesce("importance", F.lit(0.0)))
     before = W.partitionBy("paper_id").orderBy(F.desc("importance"), "chunk_index", "id").rowsBetween(W.unboundedPreceding, -1)
     c = c.withColumn("above", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).where(F.col("above") < budget * 4)
     s = c.groupBy("paper_id").agg(_ordered_text(0).alias("joined")).select("paper_id", F.substring("joined", 1, budget * 4).alias("excerpt"))
+    s = s.unionByName(_stand_ins(usable.join(c.select("paper_id").distinct(), "paper_id", "left_anti"), name, budget * 4))
     return papers.select("paper_id").distinct().join(s, "paper_id", "left").select("paper_id", F.coalesce("excerpt", F.lit(f"[Section '{name}' not found]")).alias("excerpt"))
 
 
