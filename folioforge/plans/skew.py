@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,26 @@ def pairs_by_key(rows: DataFrame, key: str, ident: str, block: int = 2000) -> Da
     return left.join(right, ["_k", "_s"]).where("a < b").select("a", "b").distinct()
 
 
-def salted(column: Column, salts: int, *by: str) -> Column:
-    """A salt in ``[0, salts)`` from the columns ``by``, stable across retries."""
-    return F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
+def meet_by_key(left: DataFrame, right: DataFrame, key: str, block: int = 2000) -> DataFrame:
+    """All distinct pairs ``(a, b)`` of left (key, a) and right (key, b) that share a key.
+
+    Both sides of a bucket are split into blocks of about ``block`` rows, and every left
+    block meets every right one, so that no task sees more than ``block`` rows a side of
+    one bucket and no pair is lost. Null keys join nothing.
+    """
+    sides, sizes = {"a": left.select(key, "a"), "b": right.select(key, "b")}, None
+    for s, d in sides.items():
+        n = d.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias(f"_g{s}"))
+        sizes = n if sizes is None else sizes.join(n, key)
+    for s, other in (("a", "b"), ("b", "a")):
+        mine, every = F.pmod(F.xxhash64(s), F.col(f"_g{s}")).cast("int"), F.explode(F.expr(f"sequence(0, _g{other} - 1)"))
+        sides[s] = sides[s].join(sizes, key).select(key, s, mine.alias(f"_s{s}"), every.alias(f"_s{other}"))
+    return sides["a"].join(sides["b"], [key, "_sa", "_sb"]).select("a", "b").distinct()
+
+
+def spread(df: DataFrame, rows: int, per_task: int = 20_000) -> DataFrame:
+    """``df`` in partitions of about equal numbers of rows, at least one for each core
+    where there are some hundred rows for it. Adaptive execution leaves such partitions
+    alone, while it joins small ones by bytes before slow Python."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, -(-rows // per_task), min(cores, rows // 200)))
