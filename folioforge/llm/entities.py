@@ -1,19 +1,25 @@
 """Problem 4: matching citations to papers without a common key.
 
-Method: the q-grams of each attribute are encoded as a fixed vector of 256 bits. Close
+Method: the q-grams of each attribute are encoded as a fixed vector of 512 bits. Close
 title vectors are found exactly by multi-index hashing: a vector is cut into six
 chunks, and two vectors at most 11 bits apart have a chunk in which they differ by one
-bit or none, so that the chunks of one side, and of the other with every bit flipped
-once, meet in a plain equi-join. Cut-off titles are looked up by vectors of beginnings
-of fixed lengths, titles without their second part by vectors of the first (both up to
-5 bits, without flips). Pairs so found are compared by Dice scores of titles and
-authors and by years; a latent-class model (expectation maximisation over the counts
-of score patterns) turns the weighted scores into the confidence that the pair is a
-match. A citation keeps its best paper if the confidence reaches one half.
-
-Scale: vectors are made once for each distinct title; equal titles meet once. Keys are
-eight-byte numbers. What comes to the driver is one row for each score pattern, of
-which there are at most 240. Hot titles are split by their distinct authors and years.
+bit or none. A chunk's bits are folded by exclusive or to a key, which keeps a
+difference of one bit at one bit or less, so that the keys of one side, and of the
+other with every bit flipped once, meet in a plain equi-join. Cut-off titles are looked
+up by vectors of beginnings of fixed lengths, titles without their second part by
+vectors of the first (both up to 5 bits, for which equal keys suffice). Pairs so found
+are compared by Dice scores of titles and authors and by years; a latent-class model
+(expectation maximisation over the counts of score patterns) turns the weighted scores
+into the confidence that the pair is a match. A citation keeps its best paper if the
+confidence reaches one half. A cited title with words of which none is like any word of
+the paper's title says more than the title and is another work.
+
+Scale: vectors are made once for each distinct title, and equal vectors meet once, so
+that beginnings shared by many titles are one entry of the join. Keys are eight-byte
+numbers. The joins of keys and vectors are sort-merge joins by hint: keys compress so
+well that their measured size would make the planner broadcast them. Titles are spread
+by their number, not their bytes, before they are encoded. What comes to the driver is
+one row for each score pattern, of which there are at most 125.
 
 Defined results: a null or blank title matches nothing; null authors or years neither
 support nor contradict. Repeated rows count once; equal scores go to the smallest
@@ -22,11 +28,11 @@ paper id. Rows with null ids are no records. Empty tables give no matches.
 
 from __future__ import annotations
 
-import difflib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,34 +41,36 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.names_text import author_names, fold, plain_words
 from folioforge.plans.lineage import cut
+from folioforge.plans.skew import spread
 from folioforge.sources.tables import table
 
-BITS, CHUNKS = 256, 6
-WIDTH = [43, 43, 43, 43, 42, 42]
+BITS, CHUNKS, KEY = 512, 6, 32
+#: Bits of a chunk; the last one has what is left.
+CHUNK = -(-BITS // CHUNKS)
 RADIUS, RADIUS_EXACT = 11, 5
 #: Kinds of title vectors: whole, first part, beginnings of so many characters.
-WHOLE, FIRST, BEGINNINGS = 0, 1, (20, 28, 40, 56)
-#: Words that mark a work as the continuation of another.
-MARKERS = ("corrigendum", "erratum", "addendum", "replication", "retraction", "sequel", "revisited", "rejoinder", "continued", "reanalysis", "followup")
-MARKER_PAIRS = (("years", "later"), ("new", "data"), ("follow", "up"), ("second", "study"), ("a", "reply"), ("a", "comment"))
+WHOLE, FIRST, BEGINNINGS = 0, 1, (20, 26, 32, 38, 44, 50, 56, 62, 68)
+#: Letters in words of a cited title that the paper's lacks, from which it is another work.
+SURPLUS = 5
 
 _NOTE = re.compile(r"\s*(?:\[[^\[\]]*\]|\((?:in |to |submitted|preprint|forthcoming|accepted|unpublished|under)[^()]*\)|,?\s*(?:in press|forthcoming|to appear|submitted|preprint|unpublished))\s*\.?\s*$", re.I)
 _VENUE = re.compile(r"^(.{12,}?\w[\"'”’)\]]*)[.!?]+[\"'”’]*\s+((?:[A-Z][\w&-]*\s+)(?:(?:of|on|in|the|and|for|&|[A-Z][\w-]*)\s*){1,7})\.?$")
 _CUT = re.compile(r"\s*(?:\.\.\.|…)\s*$")
 
 
-@cache
-def _bit(gram: str) -> int:
-    return zlib.crc32(gram.encode()) % BITS
+@lru_cache(1 << 18)
+def _word_vector(word: str) -> int:
+    """Bits of the padded two-letter grams of a word."""
+    x, v = f"^{word}$", 0
+    for i in range(len(x) - 1):
+        v |= 1 << zlib.crc32(x[i : i + 2].encode()) % BITS
+    return v
 
 
 def encode(words: list[str]) -> int:
-    """Bits of the padded two-letter grams of the words."""
     v = 0
     for w in words:
-        x = f"^{w}$"
-        for i in range(len(x) - 1):
-            v |= 1 << _bit(x[i : i + 2])
+        v |= _word_vector(w)
     return v
 
 
@@ -112,88 +120,101 @@ def citation_variants(title: str) -> list[tuple[int, int]]:
     return out
 
 
-def marker(title: str) -> str:
-    """What marks the title as a continuation, or ""; typing errors are forgiven."""
-    words = plain_words(_CUT.sub("", without_notes(title)[0]))
-    tail = words[-6:]
-    for m in MARKERS:
-        if any(w == m or abs(len(w) - len(m)) < 3 and difflib.SequenceMatcher(None, w, m).ratio() >= 0.86 for w in tail):
-            return m
-    near = lambda a, b: a == b or len(b) > 3 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.75
-    for a, b in MARKER_PAIRS:
-        if any(near(x, a) and near(y, b) for x, y in zip(tail, tail[1:])):
-            return f"{a} {b}"
-    if len(tail) > 1 and near(tail[-2], "part") and re.fullmatch(r"[ivx]+|\d+", tail[-1]):
-        return f"part {tail[-1]}"
-    return ""
+def _alike(a: str, b: str) -> bool:
+    """Whether one word may be the other mistyped: by grams, or by letters in another order."""
+    if word_dice(a, b) >= 0.5:
+        return True
+    common = sum((Counter(a) & Counter(b)).values())
+    return abs(len(a) - len(b)) < 3 and 2 * common >= 0.75 * (len(a) + len(b))
+
+
+def surplus(cited: str, written: str) -> int:
+    """Letters of the cited title's words, notes and venue aside, for which the paper's
+    title has none: equal words are paired first, then those that may be mistyped. Of a
+    cut-off title the last word may be a beginning."""
+    t = without_notes(cited)[0]
+    stem = _CUT.sub("", t)
+    words, known = plain_words(stem), plain_words(written)
+    last = words.pop() if stem != t and words else ""
+    free, have = Counter(known), Counter(words)
+    free, odd = free - have, have - free
+    if last and not any(k.startswith(last) for k in free):
+        odd[last] += 1
+    run, extra = "".join(known), 0
+    for w in odd.elements():
+        near = next((k for k in free if _alike(w, k)), None)
+        if near:
+            free -= Counter([near])
+        elif w not in have.keys() & set(known) and w not in run:  # else said twice, or parted by a wrong blank
+            extra += len(w)
+    return extra
 
 
 def _longs(v: int) -> list[int]:
-    return [x - (1 << 64) if x >= 1 << 63 else x for x in ((v >> s) & (2**64 - 1) for s in (0, 64, 128, 192))]
+    return [x - (1 << 64) if x >= 1 << 63 else x for x in ((v >> s) & (2**64 - 1) for s in range(0, BITS, 64))]
+
+
+def _fold(chunk: int) -> int:
+    key = 0
+    while chunk:
+        key ^= chunk & ((1 << KEY) - 1)
+        chunk >>= KEY
+    return key
 
 
 def _keys(kind: int, v: int) -> list[int]:
-    """One key for each chunk: kind, chunk and the chunk's bits."""
-    out, at = [], 0
-    for c, w in enumerate(WIDTH):
-        out.append((kind << 52) | (c << 48) | ((v >> at) & ((1 << w) - 1)))
-        at += w
-    return out
+    """One key for each chunk: kind, chunk and the chunk's bits folded."""
+    return [(kind << 52) | (c << 48) | _fold((v >> c * CHUNK) & ((1 << CHUNK) - 1)) for c in range(CHUNKS)]
 
 
-_TITLE = "cls bigint, marker string, variants array<struct<kind int, v array<bigint>>>, probed array<bigint>, keys array<bigint>"
+_ONE = pa.struct([("kind", pa.int32()), ("v", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+_TITLE = "cls bigint, variants array<struct<kind int, v array<bigint>, keys array<bigint>>>"
 
 
 def _encode_titles(batches: Iterator[pa.RecordBatch], cited: bool) -> Iterator[pa.RecordBatch]:
-    vt = pa.list_(pa.struct([("kind", pa.int32()), ("v", pa.list_(pa.int64()))]))
+    variants = citation_variants if cited else paper_variants
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        marks, variants, probed, keys = [], [], [], []
-        for title in batch.column("title").to_pylist():
-            vs = [(k, v) for k, v in (citation_variants(title) if cited else paper_variants(title)) if v]
-            marks.append(marker(title))
-            variants.append([{"kind": k, "v": _longs(v)} for k, v in vs])
-            split = [(k, x) for k, v in vs for x in _keys(k, v)]
-            probed.append([x for k, x in split if k == WHOLE])
-            keys.append([x for k, x in split if k != WHOLE])
-        yield pa.record_batch(
-            [batch.column("cls"), pa.array(marks), pa.array(variants, vt), pa.array(probed, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-            names=["cls", "marker", "variants", "probed", "keys"],
-        )
+        if batch.num_rows:
+            made = [
+                [{"kind": k, "v": _longs(v), "keys": _keys(k, v)} for k, v in dict.fromkeys(variants(t)) if v]
+                for t in batch.column("title").to_pylist()
+            ]
+            yield pa.record_batch([batch.column("cls"), pa.array(made, pa.list_(_ONE))], names=["cls", "variants"])
 
 
 def _distance(a: str, b: str) -> str:
-    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(4))
+    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(BITS // 64))
 
 
 def _ones(a: str) -> str:
-    return " + ".join(f"bit_count({a}[{i}])" for i in range(4))
+    return " + ".join(f"bit_count({a}[{i}])" for i in range(BITS // 64))
 
 
 def close_titles(cited: DataFrame, papers: DataFrame) -> DataFrame:
-    """(ccls, pcls, title): pairs of title classes within the radius and their best Dice."""
-    flips = "concat(array(k), transform(sequence(0, if((shiftright(k, 48) & 15) < 4, 42, 41)), b -> k ^ shiftleft(1L, b)))"
-    filed = papers.select("cls", F.explode(F.expr(f"concat(keys, flatten(transform(probed, k -> {flips})))")).alias("key"))
-    asked = cited.select(F.col("cls").alias("ccls"), F.explode(F.expr("concat(keys, probed)")).alias("key"))
-    met = asked.join(filed.withColumnRenamed("cls", "pcls"), "key").select("ccls", "pcls").distinct()
-    met = met.join(cited.select(F.col("cls").alias("ccls"), F.col("variants").alias("cv"), F.col("marker").alias("cm")), "ccls")
-    met = met.join(papers.select(F.col("cls").alias("pcls"), F.col("variants").alias("pv"), F.col("marker").alias("pm")), "pcls")
-    both = met.select("ccls", "pcls", "cm", "pm", "pv", F.explode("cv").alias("c"))
-    both = both.select("ccls", "pcls", "cm", "pm", "c", F.explode("pv").alias("p")).where("c.kind = p.kind")
-    d = F.expr(_distance("c.v", "p.v"))
-    both = both.withColumn("d", d).where(F.col("d") <= F.when(F.col("c.kind") == WHOLE, RADIUS).otherwise(RADIUS_EXACT))
+    """(ccls, pcls, title): pairs of title classes within the radius and their best Dice,
+    for encoded titles (cls, variants) of either side."""
+    sides = {}
+    for s, d in (("c", cited), ("p", papers)):
+        flat = d.select("cls", F.explode("variants").alias("x")).select("cls", "x.*")
+        flat = flat.withColumn("vid", F.xxhash64("kind", "v"))
+        owners = flat.select(F.col("cls").alias(f"{s}cls"), F.col("vid").alias(f"{s}vid"))
+        sides[s] = owners, flat.groupBy("vid").agg(F.first("kind").alias("kind"), F.first("v").alias("v"), F.first("keys").alias("keys"))
+    (co, cv), (po, pv) = sides["c"], sides["p"]
+    flips = f"concat(keys, flatten(transform(keys, k -> transform(sequence(0, {KEY - 1}), b -> k ^ shiftleft(1L, b)))))"
+    filed = pv.select(F.col("vid").alias("pvid"), F.explode(F.when(F.col("kind") == WHOLE, F.expr(flips)).otherwise(F.col("keys"))).alias("key"))
+    asked = cv.select(F.col("vid").alias("cvid"), F.explode("keys").alias("key"))
+    met = asked.join(filed.hint("merge"), "key").select("cvid", "pvid").distinct()
+    met = met.join(cv.select(F.col("vid").alias("cvid"), "kind", F.col("v").alias("cv")).hint("merge"), "cvid")
+    met = met.join(pv.select(F.col("vid").alias("pvid"), F.col("v").alias("pv")).hint("merge"), "pvid")
+    met = met.withColumn("d", F.expr(_distance("cv", "pv"))).where(F.col("d") <= F.when(F.col("kind") == WHOLE, RADIUS).otherwise(RADIUS_EXACT))
     # both vectors' ones are their common ones twice and the differing ones once
-    ones = F.expr(f"{_ones('c.v')} + {_ones('p.v')}")
-    dice = (ones - F.col("d")) / ones
-    return both.groupBy("ccls", "pcls").agg(F.max(dice).alias("title"), F.any_value(F.col("cm") == F.col("pm")).alias("same_kind"))
-
-
-@cache
-def _word_vector(word: str) -> int:
-    return encode([word])
+    ones = F.expr(f"{_ones('cv')} + {_ones('pv')}")
+    close = met.select("cvid", "pvid", ((ones - F.col("d")) / ones).alias("title"))
+    owned = close.join(co.hint("merge"), "cvid").join(po.hint("merge"), "pvid")
+    return owned.groupBy("ccls", "pcls").agg(F.max("title").alias("title"))
 
 
+@lru_cache(1 << 18)
 def word_dice(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -218,11 +239,13 @@ def people(cited: str | None, written: str | None) -> float | None:
     return sum(shares) / len(shares)
 
 
-def _people(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``shared``, how far the people agree; titles that say more are left out."""
     for batch in batches:
         if batch.num_rows:
+            batch = batch.filter(pa.array([surplus(c, p) < SURPLUS for c, p in zip(batch.column("ct").to_pylist(), batch.column("pt").to_pylist(), strict=True)], pa.bool_()))
             found = [people(c, p) for c, p in zip(batch.column("ca").to_pylist(), batch.column("pa").to_pylist(), strict=True)]
-            yield batch.drop_columns(["ca", "pa"]).append_column("shared", pa.array(found, pa.float64()))
+            yield batch.drop_columns(["ca", "pa", "ct", "pt"]).append_column("shared", pa.array(found, pa.float64()))
 
 
 def _level(value: Column, *bounds: float) -> Column:
@@ -266,40 +289,40 @@ def match(cited: DataFrame, papers: DataFrame, least: float = 0.5) -> DataFrame:
     sides = []
     for d, is_cited in ((cited, True), (papers, False)):
         titles = d.groupBy("title").agg(F.min("id").alias("cls"))
-        encoded = cut(titles.select("cls", "title").mapInArrow(lambda it, c=is_cited: _encode_titles(it, c), _TITLE))
-        records = d.join(titles, "title").groupBy("cls", "authors", "year").agg(F.min("id").alias("rid"))
+        rows = spread(titles.select("cls", "title"), d.count())
+        encoded = cut(rows.mapInArrow(lambda it, c=is_cited: _encode_titles(it, c), _TITLE))
+        records = d.join(titles.hint("merge"), "title").groupBy("cls", "title", "authors", "year").agg(F.min("id").alias("rid"))
         sides.append((titles, encoded, records))
     (ct, ce, cr), (_, pe, pr) = sides
     near = close_titles(ce, pe)
-    pairs = near.join(cr.select(F.col("cls").alias("ccls"), F.col("rid").alias("crid"), F.col("authors").alias("ca"), F.col("year").alias("cy")), "ccls")
-    pairs = pairs.join(pr.select(F.col("cls").alias("pcls"), F.col("rid").alias("prid"), F.col("authors").alias("pa"), F.col("year").alias("py")), "pcls")
-    pairs = pairs.select("crid", "prid", "title", "same_kind", "cy", "py", "ca", "pa").mapInArrow(
-        _people, "crid bigint, prid bigint, title double, same_kind boolean, cy int, py int, shared double"
-    )
+    for s, r in (("c", cr), ("p", pr)):
+        r = r.select(F.col("cls").alias(f"{s}cls"), F.col("rid").alias(f"{s}rid"), F.col("title").alias(f"{s}t"), F.col("authors").alias(f"{s}a"), F.col("year").alias(f"{s}y"))
+        near = near.join(r.hint("merge"), f"{s}cls")
+    near = near.select("crid", "prid", "title", "cy", "py", "ca", "pa", "ct", "pt")
+    pairs = near.mapInArrow(_compared, "crid bigint, prid bigint, title double, cy int, py int, shared double")
     shared = F.col("shared")
     # a year of one or two digits has lost its century
     apart = F.abs(F.col("cy") - F.when(F.col("cy") < 100, F.col("py") % 100).otherwise(F.col("py")))
     pairs = pairs.select(
-        "crid", "prid", "title", "same_kind", F.coalesce(shared, F.lit(0.5)).alias("people"), F.coalesce(-apart, F.lit(-2)).alias("when"),
+        "crid", "prid", "title", F.coalesce(shared, F.lit(0.5)).alias("people"), F.coalesce(-apart, F.lit(-2)).alias("when"),
         _level(F.col("title"), 0.85, 0.92, 0.96, 0.99).alias("t"),
         F.when(shared.isNull(), -1).otherwise(_level(shared, 0.3, 0.55, 0.8)).alias("a"),
         F.when(apart.isNull(), -1).otherwise(F.when(apart == 0, 3).when(apart == 1, 2).when(apart < 5, 1).otherwise(0)).alias("y"),
-        F.col("same_kind").cast("int").alias("s"),
     )
     pairs = cut(pairs)
-    # at most 5 x 5 x 5 patterns; pairs of another kind of work are no matches
-    counts = pairs.where("s = 1").groupBy("t", "a", "y").count().collect()
+    # at most 5 x 5 x 5 patterns
+    counts = pairs.groupBy("t", "a", "y").count().collect()
     if not counts:
         return spark.createDataFrame([], "citation_id bigint, paper_id bigint, confidence double")
     patterns = [(r["t"], r["a"], r["y"]) for r in counts]
     post = calibrate(patterns, [r["count"] for r in counts])
     weights = spark.createDataFrame([(*p, float(c)) for p, c in zip(patterns, post, strict=True)], "t int, a int, y int, confidence double")
-    scored = pairs.where("s = 1").join(F.broadcast(weights), ["t", "a", "y"]).where(F.col("confidence") >= least)
+    scored = pairs.join(F.broadcast(weights), ["t", "a", "y"]).where(F.col("confidence") >= least)
     best = W.partitionBy("crid").orderBy(F.desc("confidence"), F.desc("title"), F.desc("people"), F.desc("when"), "prid")
     chosen = scored.withColumn("n", F.row_number().over(best)).where("n = 1").select("crid", "prid", "confidence")
     # back to every citation of the same title, authors and year
-    same = cited.join(ct, "title").select(F.col("id").alias("citation_id"), "cls", "authors", "year").distinct()
-    rids = cr.select("cls", F.col("authors").alias("au"), F.col("year").alias("yr"), F.col("rid").alias("crid")).join(chosen, "crid")
+    same = cited.join(ct.hint("merge"), "title").select(F.col("id").alias("citation_id"), "cls", "authors", "year").distinct()
+    rids = cr.select("cls", F.col("authors").alias("au"), F.col("year").alias("yr"), F.col("rid").alias("crid")).join(chosen.hint("merge"), "crid")
     on = (F.col("same.cls") == F.col("r.cls")) & F.col("authors").eqNullSafe(F.col("au")) & F.col("year").eqNullSafe(F.col("yr"))
     return same.alias("same").join(rids.alias("r"), on).select("citation_id", F.col("prid").alias("paper_id"), "confidence").distinct()
 

@@ -58,14 +58,20 @@ def test_one_edit_and_prefix_join(spark):
 def test_multi_index_finds_all_close_vectors():
     rng = random.Random(1)
     for _ in range(200):
-        v = rng.getrandbits(256)
+        v = rng.getrandbits(entities.BITS)
         w = v
-        for b in rng.sample(range(256), rng.randrange(0, entities.RADIUS + 1)):
+        for b in rng.sample(range(entities.BITS), rng.randrange(0, entities.RADIUS + 1)):
             w ^= 1 << b
-        keys = set(entities._keys(0, v))
-        mask = (1 << 48) - 1
-        flips = {k ^ (1 << b) for k in entities._keys(0, w) for b in range(entities.WIDTH[(k >> 48) & 15])} | set(entities._keys(0, w))
-        assert keys & flips and mask
+        flips = {k ^ (1 << b) for k in entities._keys(0, w) for b in range(entities.KEY)} | set(entities._keys(0, w))
+        assert set(entities._keys(0, v)) & flips
+
+
+def test_surplus_words_make_another_work():
+    title = "A Lobrek approach to recursive distillation under discrete resolution"
+    for more in (": a replication", " - ten years later", ", corrigendum & new data", ": a reply", ", part ii", " revisited"):
+        assert entities.surplus(title + more, title) >= entities.SURPLUS, more
+    for typed in ("A Lobrek aproach ot recurisve distillation udner discrete resolution", "A Lobrek approach to recursive under resolution", "A LOBREK APPROACH TO RECUR SIVE DISTILLATION...", title[:33] + "..."):
+        assert entities.surplus(typed, title) < entities.SURPLUS, typed
 
 
 def test_citation_matching(spark):
