@@ -12,10 +12,10 @@ shuffled for banding; feature sets move once for the candidates' check.
 
 Defined results: a null title or abstract counts as empty text; records of fewer than
 three words, and records with a null id, are similar to nothing and form a class of
-their own. Repeated rows count once. ``similar_pairs`` gives all pairs of records
-whose sets differ. Pairs inside a group of equal sets, and to each of its members, are
-given in full for groups of up to ``spread`` members; of a larger group the members are
-given as pairs with its least member, which alone has the pairs to other records.
+their own. Repeated rows count once. ``similar_pairs`` gives all pairs of records, those
+of equal sets too, whatever the size of their group; blocks of a group's members meet in
+tasks of their own, and the result grows with the square of a group. ``groups`` is
+linear in the records: every record with its class and its number of links.
 """
 
 from __future__ import annotations
@@ -100,19 +100,18 @@ def representative_pairs(classes: DataFrame, threshold: float, recall: float) ->
     return met.where(F.col("similarity") >= threshold)
 
 
-def similar_pairs(records: DataFrame, threshold: float = 0.5, recall: float = 0.995, spread: int = 32) -> DataFrame:
+def similar_pairs(records: DataFrame, threshold: float = 0.5, recall: float = 0.995) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b, of records (id bigint, text string)."""
     classes = cut(classes_of(records.select("id", "text")))
     pairs = representative_pairs(classes, threshold, recall)
-    sizes = classes.groupBy("rep").agg(F.count("*").alias("n"))
-    member = classes.select("id", "rep").join(sizes.where(f"n > 1 and n <= {spread}").select("rep"), "rep")
-    large = classes.select("id", "rep").join(sizes.where(f"n > {spread}").select("rep"), "rep").where("id <> rep")
-    inside = member.alias("x").join(member.alias("y"), "rep").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    spreads = {s: member.select(F.col("rep").alias(s), F.col("id").alias(f"m{s}")) for s in "ab"}
-    across = pairs.join(spreads["a"], "a", "left").join(spreads["b"], "b", "left")
+    several = classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
+    member = classes.select("id", "rep").join(several, "rep")
+    inside = pairs_by_key(member, "rep", "id").select("a", "b", F.lit(1.0).alias("similarity"))
+    across = pairs
+    for s in "ab":
+        across = across.join(member.select(F.col("rep").alias(s), F.col("id").alias(f"m{s}")), s, "left")
     across = across.select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"), "similarity")
-    copies = inside.union(large.select("rep", "id")).select("a", "b", F.lit(1.0).alias("similarity"))
-    return across.union(copies).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity")
+    return across.union(inside).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity")
 
 
 def groups(records: DataFrame, threshold: float = 0.5, recall: float = 0.995) -> DataFrame:
