@@ -2,9 +2,10 @@
 
 Method: space-filling-curve order. A text's tokens are hashed to signs in few
 dimensions and averaged; the point's cell on a Hilbert curve is its key. Documents
-are range-sorted by key and neighbours along the curve are packed together: a window
-of them fills the open containers best fit first, largest text first, and containers
-still open after a window stay open for the next.
+are range-sorted by key and neighbours along the curve are packed together, in short
+windows: each, largest text first, goes to the open container it fits best. A container
+is closed when the curve has gone on ``reach`` windows from the one that opened it, so
+that what lies in it stood near together. ``locality`` measures how near.
 
 Only a text above the capacity is cut, into pieces of the capacity and a rest.
 
@@ -86,12 +87,14 @@ def _placed(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.R
 
 
 class Packer:
-    """Open containers of one stretch of the curve."""
+    """Open containers of one stretch of the curve; none takes texts of more than
+    ``reach`` windows after the one that opened it."""
 
-    def __init__(self, capacity: int, part: int) -> None:
-        self.capacity, self.next = capacity, part << 32
+    def __init__(self, capacity: int, part: int, reach: int) -> None:
+        self.capacity, self.next, self.reach, self.now = capacity, part << 32, reach, 0
         self.free: list[tuple[int, int]] = []  # (room, container), sorted
         self.places: dict[int, int] = {}
+        self.opened: dict[int, int] = {}
 
     def put(self, size: int) -> tuple[int, int]:
         """(container, place in it) for a text: best fit, else a new container."""
@@ -100,23 +103,32 @@ class Packer:
             room, box = self.free.pop(i)
         else:
             room, box, self.next = self.capacity, self.next, self.next + 1
+            self.opened[box] = self.now
         place = self.places.get(box, 0)
         if room > size:
             insort(self.free, (room - size, box))
             self.places[box] = place + 1
         else:
             self.places.pop(box, None)
+            del self.opened[box]
         return box, place
 
     def window(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         boxes, places = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int32)
         for i in np.argsort(-sizes, kind="stable"):
             boxes[i], places[i] = self.put(int(sizes[i]))
+        self.now += 1
+        late = {b for b, at in self.opened.items() if self.now - at > self.reach}
+        if late:
+            self.free = [x for x in self.free if x[1] not in late]
+            for box in late:
+                self.places.pop(box, None)
+                del self.opened[box]
         return boxes, places
 
 
-def _packed(batches: Iterator[pa.RecordBatch], capacity: int, window: int) -> Iterator[pa.RecordBatch]:
-    packer = Packer(capacity, TaskContext.get().partitionId())
+def _packed(batches: Iterator[pa.RecordBatch], capacity: int, window: int, reach: int) -> Iterator[pa.RecordBatch]:
+    packer = Packer(capacity, TaskContext.get().partitionId(), reach)
     held: list[pa.RecordBatch] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -125,7 +137,7 @@ def _packed(batches: Iterator[pa.RecordBatch], capacity: int, window: int) -> It
             held.clear()
             boxes, places = packer.window(t["tokens"].to_numpy())
             t = t.append_column("container", pa.array(boxes)).append_column("place", pa.array(places))
-            yield from t.select(["container", "place", "id", "piece", "start", "tokens"]).to_batches()
+            yield from t.select(["container", "place", "id", "piece", "start", "tokens", "key"]).to_batches()
 
     for batch in batches:
         while batch.num_rows:
@@ -137,9 +149,11 @@ def _packed(batches: Iterator[pa.RecordBatch], capacity: int, window: int) -> It
     yield from flush()
 
 
-def pack(documents: DataFrame, capacity: int = 2048, *, vocabulary: str = VOCABULARY, window: int = 4096, rows_per_task: int = 100_000) -> DataFrame:
-    """(container, place, id, piece, start, tokens) for documents (id bigint, text
-    string): which tokens of which document lie in which container, in order."""
+def pack(documents: DataFrame, capacity: int = 2048, *, vocabulary: str = VOCABULARY, window: int = 32, reach: int = 8, rows_per_task: int = 100_000) -> DataFrame:
+    """(container, place, id, piece, start, tokens, key) for documents (id bigint, text
+    string): which tokens of which document lie in which container, in order; key is the
+    document's place on the curve. A window's texts may be kept apart by at most
+    ``window * reach`` texts of the curve from others of their container."""
     placed = documents.select("id", "text").where("id is not null").mapInArrow(lambda it: _placed(it, vocabulary), "id bigint, tokens bigint, key bigint")
     placed = cut(placed.groupBy("id").agg(F.max(F.struct("tokens", "key")).alias("x")).select("id", "x.*"))
     pieces = placed.select("key", "id", "tokens", F.explode(F.expr(f"sequence(0, greatest(0, cast((tokens - 1) div {capacity} as int)))")).alias("piece"))
@@ -149,8 +163,8 @@ def pack(documents: DataFrame, capacity: int = 2048, *, vocabulary: str = VOCABU
     )
     tasks = max(1, -(-placed.count() // rows_per_task))
     ordered = items.repartitionByRange(tasks, "key", "id", "piece").sortWithinPartitions("key", "id", "piece")
-    schema = "container bigint, place int, id bigint, piece int, start bigint, tokens bigint"
-    return ordered.mapInArrow(lambda it: _packed(it, capacity, window), schema)
+    schema = "container bigint, place int, id bigint, piece int, start bigint, tokens bigint, key bigint"
+    return ordered.mapInArrow(lambda it: _packed(it, capacity, window, reach), schema)
 
 
 def fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -163,18 +177,31 @@ def fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     )
 
 
+def locality(packed: DataFrame) -> DataFrame:
+    """(spread, random): the mean stretch of the curve, as a share of all documents, from
+    a container's first document to its last, and what it would be if the documents of
+    every container were drawn at random."""
+    steps = 1000
+    cuts = packed.agg(F.percentile_approx("key", [i / steps for i in range(steps + 1)], 10_000).alias("cuts"))
+    part = packed.groupBy("container").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count_distinct("id").alias("n")).where("n > 1")
+    at = lambda c: F.expr(f"size(filter(cuts, x -> x < {c})) / {steps + 1}.0D")
+    apart = part.crossJoin(F.broadcast(cuts)).select((at("b") - at("a")).alias("s"), ((F.col("n") - 1) / (F.col("n") + 1)).alias("r"))  # cuts is one row
+    return apart.agg(F.avg("s").alias("spread"), F.avg("r").alias("random"))
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in containers of 2,048 tokens."""
-    return pack(_documents(spark, folder)).withColumnsRenamed({"id": "doc_id", "start": "token_start"})
+    return pack(_documents(spark, folder)).drop("key").withColumnsRenamed({"id": "doc_id", "start": "token_start"})
 
 
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """How full the containers are."""
-    return fill(pack(_documents(spark, folder)))
+    """How full the containers are, and how near together on the curve their texts."""
+    packed = cut(pack(_documents(spark, folder)))
+    return fill(packed).join(F.broadcast(locality(packed)))  # two frames of one row
 
 
 QUERIES = {"p8_pack": p8_pack, "p8_fill": p8_fill}
