@@ -1,16 +1,19 @@
 """Problem 10: one character form for texts that look the same.
 
 Method: the words of the corpus that are written plainly form a vocabulary, held as
-tries. A word with a variant character traverses its trie with a weighted edit
-automaton in which look-alike letters, compatibility forms, composition and ignorable
-characters cost nothing and any other edit costs one; words reached within ``most``
-(0) are spellings of it, and the most frequent one in the script of its unmistakable
-letters is taken. Words that reach nothing are normalised by table.
-
-Scale: only texts with a variant character leave the scan, found by one JVM pattern.
-The vocabulary is counted with map-side partial sums; tries are built for shards of
-it, keyed by the first letters of the plain look, and meet only the distinct variant
-words of the same shard. The spellings found are joined back to their texts.
+tries. A word with a variant character, as it stands, traverses its trie with a weighted
+edit automaton in which look-alike letters, compatibility forms, composition and
+ignorable characters cost nothing and any other edit costs one; each path tells which
+kinds of variants it passed. Words reached at no cost are spellings of it, and the most
+frequent one in the script of its unmistakable letters is taken. Words that reach
+nothing are normalised by table.
+
+Scale: only texts with a variant character leave the scan, found by one JVM pattern and
+written once; texts of plain bytes are passed by length alone. The vocabulary, words
+written once included, is counted with map-side partial sums. Tries are built for
+subtrees of it: the beginnings of plain looks, each the shortest with at most
+``subtree`` words, so that none is hot; they meet only the distinct variant words with
+the same beginning. The spellings found are joined back to their texts.
 
 What belongs to the writing stays: full-width forms and U+3000 in Japanese texts,
 joiners between letters of scripts that use them and in emoji, words wholly in another
@@ -30,7 +33,7 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.plans.lineage import cut
@@ -162,35 +165,72 @@ class Trie:
             node = node[0].setdefault(c, [{}, 0])
         node[1] = count
 
-    def reach(self, chars: list[str], most: int = 0) -> list[tuple[int, str, int]]:
-        """(cost, word, count) of all words within ``most``: the automaton's states are
-        (place in the word, node, cost); a step to a letter of the same look is free,
-        another letter, a letter more or a letter less costs one."""
-        looks = [_looks(c) for c in chars]
-        found: dict[str, tuple[int, int]] = {}
-        stack = [(0, self.root, "", 0)]
+    def reach(self, word: str, most: int = 0, japanese: bool = False) -> list[tuple[int, str, int, frozenset[str]]]:
+        """(cost, spelling, count, kinds) of all words within ``most`` of the word as it
+        stands. The automaton's states are (step of the word, node, cost). An ignorable
+        character stays at its node, a compatibility form steps through its letters, a
+        letter with its marks steps to the composed one, a letter steps to any of the
+        same look, all for nothing; another letter, a letter more or less costs one."""
+        steps = list(_steps(word, japanese))
+        found: dict[str, tuple[int, int, frozenset[str]]] = {}
+        stack = [(0, self.root, "", 0, frozenset())]
         seen: dict[tuple[int, int], int] = {}
         while stack:
-            i, node, path, cost = stack.pop()
+            i, node, path, cost, kinds = stack.pop()
             if seen.get((i, id(node)), most + 1) <= cost:
                 continue
             seen[i, id(node)] = cost
-            if i == len(chars) and node[1]:
-                if path not in found or found[path][0] > cost:
-                    found[path] = (cost, node[1])
-            for c, child in node[0].items():
-                if i < len(chars):
-                    free = c == chars[i] or _looks(c) == looks[i]
-                    if cost + (not free) <= most:
-                        stack.append((i + 1, child, path + c, cost + (not free)))
+            if i == len(steps):
+                if node[1] and (path not in found or found[path][0] > cost):
+                    found[path] = (cost, node[1], kinds)
+            else:
+                letter, kind = steps[i]
+                met = kinds | {kind} if kind else kinds
+                if not letter:
+                    stack.append((i + 1, node, path, cost, met))
+                    continue
+                look = _looks(letter)
+                for c, child in node[0].items():
+                    if c == letter:
+                        stack.append((i + 1, child, path + c, cost, met))
+                    elif _looks(c) == look:
+                        stack.append((i + 1, child, path + c, cost, met | {"lookalike"}))
+                    elif cost < most:
+                        stack.append((i + 1, child, path + c, cost + 1, met))
                 if cost < most:
-                    stack.append((i, child, path + c, cost + 1))
-            if i < len(chars) and cost < most:
-                stack.append((i + 1, node, path, cost + 1))
-        return [(cost, word, n) for word, (cost, n) in found.items()]
+                    stack.append((i + 1, node, path, cost + 1, met))
+            if cost < most:
+                for c, child in node[0].items():
+                    stack.append((i, child, path + c, cost + 1, kinds))
+        return [(cost, spelling, n, kinds) for spelling, (cost, n, kinds) in found.items()]
+
+
+def _steps(word: str, japanese: bool) -> Iterator[tuple[str, str | None]]:
+    """(letter, kind) that the automaton consumes: "" for an ignorable character."""
+    i = 0
+    while i < len(word):
+        c = word[i]
+        i += 1
+        if _IGNORABLE.match(c):
+            yield (c, None) if _belongs(word, i - 1) else ("", "invisible")
+            continue
+        plain, kind = (c, None) if japanese else _plain(c)
+        yield from ((x, kind) for x in plain[:-1])
+        last, marks = plain[-1:], 0
+        while last and i < len(word) and (_MARK.match(word[i]) or _IGNORABLE.match(word[i])) and _LETTER.match(last):
+            if _IGNORABLE.match(word[i]):
+                yield "", "invisible"
+            else:
+                joined = unicodedata.normalize("NFC", last + word[i])
+                marks += len(joined) <= len(last)
+                last = joined
+            i += 1
+        if kind and marks:
+            yield "", kind
+        yield from ((x, "combining" if marks else kind) for x in last)
 
 
-def spell(word: str, trie: Trie | None, japanese: bool, most: int = 0) -> tuple[str, list[str]]:
+def spell(word: str, trie: Trie | None, japanese: bool) -> tuple[str, list[str]]:
     """(canonical spelling, kinds of variants found) of one word."""
     chars, kinds = units(word, japanese)
     letters = "".join(chars)
@@ -199,15 +239,13 @@ def spell(word: str, trie: Trie | None, japanese: bool, most: int = 0) -> tuple[
         sure = [c for c in chars if _looks(c) == c]
         scripts = [s for s in (_LATIN, _CYR, _GRK) if any(s.match(c) for c in sure)]
         ranked = sorted(
-            trie.reach(chars, most),
+            trie.reach(word, japanese=japanese),
             key=lambda x: (x[0], -sum(bool(s.match(c)) for c in x[1] for s in scripts), -x[2], x[1]),
         )
+        if not mixed:  # a word wholly in one script keeps it
+            ranked = [x for x in ranked if "lookalike" not in x[3]]
         if ranked:
-            # a word wholly in one script keeps it
-            if mixed:
-                return ranked[0][1], [*kinds, *(["lookalike"] if ranked[0][1] != letters else [])]
-            if any(x[1] == letters for x in ranked):
-                return letters, kinds
+            return ranked[0][1], sorted(ranked[0][3])
     return by_table(chars, kinds) if mixed else (letters, kinds)
 
 
@@ -234,17 +272,22 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(words), pa.array(ja)], names=["id", "word", "ja"])
 
 
-def _shards(batches: Iterator[pd.DataFrame], dirty: bool) -> Iterator[pd.DataFrame]:
+def _beginnings(batches: Iterator[pd.DataFrame], dirty: bool) -> Iterator[pd.DataFrame]:
+    """Adds all beginnings of a word's plain look, its end being a letter too."""
     for pdf in batches:
-        plain = [skeleton(units(w, bool(j))[0] if dirty else list(w)) for w, j in zip(pdf.word, pdf.ja, strict=True)]
-        yield pdf.assign(shard=[s[:4] for s in plain])
+        looks = [skeleton(units(w, bool(j))[0] if dirty else list(w)) + "\0" for w, j in zip(pdf.word, pdf.ja, strict=True)]
+        yield pdf.assign(starts=[[x[:n] for n in range(min(len(x), LONGEST) + 1)] for x in looks])
 
 
-def _match(key: tuple, vocabulary: pd.DataFrame, words: pd.DataFrame, most: int) -> pd.DataFrame:
+#: Beginnings of subtrees are no longer than this; words that share so many letters are few.
+LONGEST = 24
+
+
+def _match(vocabulary: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     trie = Trie()
     for w, n in zip(vocabulary.word, vocabulary.n, strict=True):
         trie.add(w, int(n))
-    spelt = [spell(w, trie, bool(j), most) for w, j in zip(words.word, words.ja, strict=True)]
+    spelt = [spell(w, trie, bool(j)) for w, j in zip(words.word, words.ja, strict=True)]
     return pd.DataFrame({"word": words.word, "ja": words.ja, "canon": [s for s, _ in spelt], "kinds": [sorted(set(k)) for _, k in spelt]})
 
 
@@ -292,21 +335,37 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def variants(documents: DataFrame, most: int = 0, least_count: int = 2) -> DataFrame:
+def is_suspect(text: Column) -> Column:
+    """Whether a variant may stand in the text. A text whose letters are single bytes
+    and that has no tab holds none; only others are searched with the pattern."""
+    plain = (F.octet_length(text) == F.char_length(text)) & ~F.contains(text, F.lit("\t"))
+    return ~plain & text.rlike(SUSPECT)
+
+
+def variants(documents: DataFrame, subtree: int = 20_000) -> DataFrame:
     """(id, text, kinds) of those documents (id bigint, text string) in which a
     variant may stand, text being the consistent form."""
     documents = documents.select("id", "text").where("id is not null")
-    suspect = documents.where(F.col("text").rlike(SUSPECT))
+    suspect = cut(documents.where(is_suspect(F.col("text"))))
     words = cut(suspect.mapInArrow(_words, "id bigint, word string, ja boolean"))
-    dirty = words.select("word", "ja").distinct().mapInPandas(lambda it: _shards(it, True), "word string, ja boolean, shard string")
+    dirty = words.select("word", "ja").distinct().mapInPandas(lambda it: _beginnings(it, True), "word string, ja boolean, starts array<string>")
     plain = documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("word"))
-    vocabulary = plain.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") >= least_count) & ~F.col("word").rlike(SUSPECT))
-    vocabulary = vocabulary.withColumn("ja", F.lit(False)).mapInPandas(lambda it: _shards(it, False), "word string, n bigint, ja boolean, shard string")
-    wanted = dirty.select("shard").distinct()
-    vocabulary = vocabulary.join(wanted, "shard", "left_semi").select("shard", "word", "n")
+    vocabulary = plain.groupBy("word").agg(F.count("*").alias("n")).where(~is_suspect(F.col("word")))
+    vocabulary = vocabulary.withColumn("ja", F.lit(False)).mapInPandas(lambda it: _beginnings(it, False), "word string, n bigint, ja boolean, starts array<string>")
+    # a subtree is the shortest beginning with few enough words
+    vocabulary = cut(vocabulary)
+    sizes = vocabulary.select(F.explode("starts").alias("start")).groupBy("start").agg(F.count("*").alias("m"))
+    small = sizes.where((F.col("m") <= subtree) | (F.length("start") >= LONGEST)).select("start")
+
+    def shard(d: DataFrame) -> DataFrame:
+        own = d.select("word", "ja", F.explode("starts").alias("start")).join(small, "start").groupBy("word", "ja").agg(F.min_by("start", F.length("start")).alias("shard"))
+        return d.drop("starts").join(own, ["word", "ja"], "left").withColumn("shard", F.coalesce("shard", F.concat(F.lit("\0"), F.substring("word", 1, 2))))
+
+    asked = cut(shard(dirty))
+    filed = shard(vocabulary).join(asked.select("shard").distinct(), "shard", "left_semi")
     spelt = (
-        vocabulary.groupBy("shard").cogroup(dirty.groupBy("shard"))
-        .applyInPandas(lambda k, v, w: _match(k, v, w, most), "word string, ja boolean, canon string, kinds array<string>")
+        filed.groupBy("shard").cogroup(asked.groupBy("shard"))
+        .applyInPandas(_match, "word string, ja boolean, canon string, kinds array<string>")
     )
     per_text = words.join(spelt, ["word", "ja"]).groupBy("id").agg(F.collect_set(F.struct("word", "canon", "kinds")).alias("spelt"))
     return suspect.join(per_text, "id", "left").mapInArrow(_rewrite, "id bigint, text string, kinds array<string>")
@@ -316,7 +375,7 @@ def canonical_text(documents: DataFrame) -> DataFrame:
     """(id, text, kinds) of every document, kinds empty where nothing was found."""
     documents = documents.select("id", "text").where("id is not null").distinct()
     none = F.array().cast("array<string>")
-    clean = documents.where(F.col("text").isNull() | ~F.col("text").rlike(SUSPECT)).select("id", "text", none.alias("kinds"))
+    clean = documents.where(F.col("text").isNull() | ~is_suspect(F.col("text"))).select("id", "text", none.alias("kinds"))
     return clean.unionByName(variants(documents))
 
 

@@ -187,10 +187,14 @@ def test_normal_forms(spark):
 
 def test_trie_reaches_words_within_cost():
     trie = lookalikes.Trie()
-    for w, n in (("cop", 3), ("cap", 2), ("сор", 1)):
+    for w, n in (("cop", 3), ("cap", 2), ("сор", 1), ("café", 4), ("final", 5)):
         trie.add(w, n)
-    assert {w for _, w, _ in trie.reach(list("сop"))} == {"cop", "сор"}
-    assert {(c, w) for c, w, _ in trie.reach(list("cop"), 1)} == {(0, "cop"), (1, "cap"), (0, "сор")}
+    assert {w for _, w, _, _ in trie.reach("сop")} == {"cop", "сор"}
+    assert {(c, w) for c, w, _, _ in trie.reach("cop", 1)} == {(0, "cop"), (1, "cap"), (0, "сор")}
+    free = {"cafe\u0301": {"combining"}, "ca\u00adfé": {"invisible"}, "\ufb01nal": {"presentation"}, "ｆinal": {"fullwidth"}, "ca\u200bfe\u0301": {"invisible", "combining"}, "finаl": {"lookalike"}}
+    for typed, kinds in free.items():
+        ((cost, word, _, met),) = trie.reach(typed)
+        assert cost == 0 and word in ("café", "final") and met == kinds, typed
 
 
 def test_registered_queries_run(spark, folder):
