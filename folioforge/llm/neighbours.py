@@ -2,17 +2,21 @@
 
 Method: a forest of hash-prefix trees. A tree hashes a vector to a string of 60
 sign bits; a tree is the array of all rows sorted by that string, equal strings by a
-hash of tree and id, so that trees show different ones of them. A row's longest-prefix
-matches stand next to its place in the array; in every tree ``window`` rows of other
-groups are gathered on either side of it. This is a fixed count for each tree: common
-prefixes are not measured and trees do not widen in step, see the README. Rows
-gathered are compared on vectors quantised to one byte a number, with the error of
-each; all that may be among the k best are merged and checked on the full vectors.
+hash of tree and id, so that trees show different ones of them. Rows under one node of
+the tree, those with a common prefix, stand together. Descent: in every tree the rows of
+other groups under each node above a row are counted, from its longest prefix up.
+Ascent: all trees go up in step, level by level, until together they hold ``enough``
+rows of other groups; that level is the row's depth. Then every tree gives the rows of
+other groups under the row's node of that depth, at most ``window`` on either side of
+its place, the nearest in the order. Rows gathered are compared on vectors quantised to
+one byte a number, with the error of each; all that may be among the k best are merged
+and checked on the full vectors.
 
 Scale: the sorted arrays are range partitions of one shuffle of T small records a
-row (key, id, group, 64 bytes). A range partition's bounds include the hash of the id,
-so equal hash strings are split too. Rows at the partitions' bounds are gathered once
-more, from both sides. Rows with bit-equal vectors are one class and
+row (key, id, group, 64 bytes), for the descent without the vectors. A range partition's
+bounds include the hash of the id, so equal hash strings are split too; what the descent
+does not see beyond them only makes a row ascend further. Rows at the partitions' bounds
+are gathered once more, from both sides. Rows with bit-equal vectors are one class and
 travel once; a class keeps the ten smallest ids with at most five of one group,
 from which the five smallest ids outside any group can always be read.
 
@@ -38,17 +42,21 @@ from folioforge.plans.lineage import cut
 from folioforge.sources.tables import table
 
 BITS = 60
+#: Levels of a tree at which the ascent may stop: lengths of common prefixes, the longest first.
+LEVELS = tuple(range(BITS, -1, -4))
 #: Positions of one tree that are compared at once.
 BLOCK = 256
 
 
 @dataclass(frozen=True)
 class Forest:
-    """trees: number of sorted arrays; window: rows gathered on either side of a
+    """trees: number of sorted arrays; enough: rows of other groups that the trees hold
+    together when the ascent stops; window: rows gathered at most on either side of a
     row's place in each; sample: rows on which the centre is fitted (a bound)."""
 
     trees: int = 10
     window: int = 128
+    enough: int = 1280
     sample: int = 8192
     seed: int = 7
     rows_per_task: int = 40_000
@@ -145,6 +153,41 @@ def _bounds(at: np.ndarray, asked: np.ndarray, grp: np.ndarray, window: int) ->
     return a, b
 
 
+def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range partition of one or more trees, each in order: for its asking rows the
+    number of shown rows of other groups that share each of LEVELS of their prefix."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got).combine_chunks()
+    trees, keys, cids, grps = (t[c].to_numpy() for c in ("tree", "key", "cid", "grp"))
+    asks, shown = (t[c].to_numpy(zero_copy_only=False) for c in ("asks", "shown"))
+
+    def per_run(fresh: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """For each place the weight of its run; ``fresh`` marks the places where one begins."""
+        run = np.cumsum(fresh) - 1
+        return np.bincount(run, weight)[run]
+
+    for tree in np.unique(trees):
+        lo, hi = np.searchsorted(trees, [tree, tree + 1])
+        key, grp, seen = keys[lo:hi], grps[lo:hi], shown[lo:hi].astype(np.float64)
+        order = np.argsort(grp, kind="stable")  # by group, then place: equal prefixes stay together
+        other = np.r_[True, grp[order][1:] != grp[order][:-1]]
+        columns = []
+        for length in LEVELS:
+            prefix = key >> (BITS - length)
+            every = per_run(np.r_[True, prefix[1:] != prefix[:-1]], seen)
+            mine = prefix[order]
+            own = np.empty(hi - lo)
+            own[order] = per_run(other | np.r_[True, mine[1:] != mine[:-1]], seen[order])
+            columns.append((every - own).astype(np.int32))
+        who = asks[lo:hi]
+        yield pa.record_batch(
+            [pa.array(cids[lo:hi][who]), pa.array(grp[who]), *(pa.array(c[who]) for c in columns)],
+            names=["cid", "grp", *(f"n{x}" for x in LEVELS)],
+        )
+
+
 def _gather(ask: np.ndarray, a: np.ndarray, b: np.ndarray, z: np.ndarray, off: np.ndarray, grp: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, least: float, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For the rows ``ask``, those of other groups and classes in the ranges ``a`` to
     ``b`` of the rows ``c`` that may be among the best ``k`` and reach ``least``, by the
@@ -177,11 +220,20 @@ def _gather(ask: np.ndarray, a: np.ndarray, b: np.ndarray, z: np.ndarray, off: n
                 yield r[some[x]], near[cols], v
 
 
-def _search(z: np.ndarray, off: np.ndarray, grp: np.ndarray, cid: np.ndarray, asks: np.ndarray, shown: np.ndarray, k: int, least: float, window: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """What the asking rows of a sorted array find among those shown. Every range holds
-    ``window`` rows of other groups on either side, however many of its own stand there."""
+def _search(z: np.ndarray, off: np.ndarray, grp: np.ndarray, cid: np.ndarray, asks: np.ndarray, shown: np.ndarray, key: np.ndarray, depth: np.ndarray, k: int, least: float, window: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """What the asking rows of a sorted array find among those shown under their node of
+    ``depth``. A range holds up to ``window`` rows of other groups on either side, however
+    many of its own stand there."""
     own, c = np.flatnonzero(asks), np.flatnonzero(shown)
-    a, b = _bounds(np.searchsorted(c, own), grp[own], grp[c], window)
+    rest = BITS - depth.astype(np.int64)  # bits below the node
+    node = (key >> rest) << rest
+
+    def under(rows: np.ndarray, among: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = np.searchsorted(key[among], node[rows])
+        end = np.searchsorted(key[among], node[rows] + (np.int64(1) << rest[rows]))
+        return np.maximum(a, start), np.maximum(np.minimum(b, end), np.maximum(a, start))
+
+    a, b = under(own, c, *_bounds(np.searchsorted(c, own), grp[own], grp[c], window))
     wide = b - a > 4 * window  # own rows fill these: they are left out before the products
     found = list(_gather(own[~wide], a[~wide], b[~wide], z, off, grp, cid, c, k, least, window))
     crowd = own[wide]
@@ -190,7 +242,8 @@ def _search(z: np.ndarray, off: np.ndarray, grp: np.ndarray, cid: np.ndarray, as
         if len(mine):
             others = c[grp[c] != grp[mine[0]]]
             at = np.searchsorted(others, mine)
-            found += _gather(mine, np.maximum(at - window, 0), np.minimum(at + window, len(others)), z, off, grp, cid, others, k, least, window)
+            a, b = under(mine, others, np.maximum(at - window, 0), np.minimum(at + window, len(others)))
+            found += _gather(mine, a, b, z, off, grp, cid, others, k, least, window)
     return found
 
 
@@ -201,7 +254,7 @@ def _ascend(batches: Iterator[pa.RecordBatch], k: int, least: float, window: int
     if not got:
         return
     t = pa.Table.from_batches(got).combine_chunks()
-    trees, cids, grps, offs = (t[c].to_numpy() for c in ("tree", "cid", "grp", "off"))
+    trees, cids, grps, offs, keys, depths = (t[c].to_numpy() for c in ("tree", "cid", "grp", "off", "key", "depth"))
     asks, shown = (t[c].to_numpy(zero_copy_only=False) for c in ("asks", "shown"))
     packed = t["q"].combine_chunks()
     q = np.frombuffer(packed.buffers()[2], dtype=np.int8, count=t.num_rows * dim, offset=packed.offset * dim).reshape(-1, dim)
@@ -210,7 +263,7 @@ def _ascend(batches: Iterator[pa.RecordBatch], k: int, least: float, window: int
         z = q[lo:hi].astype(np.float32)
         z /= np.linalg.norm(z, axis=1, keepdims=True)
         cid, grp, off = cids[lo:hi], grps[lo:hi], offs[lo:hi]
-        found = _search(z, off, grp, cid, asks[lo:hi], shown[lo:hi], k, least, window)
+        found = _search(z, off, grp, cid, asks[lo:hi], shown[lo:hi], keys[lo:hi], depths[lo:hi], k, least, window)
         for s in range(0, len(found), 20_000):
             part = found[s : s + 20_000]
             n = np.fromiter((len(x[1]) for x in part), np.int64, len(part))
@@ -252,7 +305,7 @@ def _edges(batches: Iterator[pa.RecordBatch], window: int, many: int) -> Iterato
     start = np.arange(_edge(grp[:first], shown[:first], window))
     end = np.arange(len(tree) - _edge(grp[last:][::-1], shown[last:][::-1], window), len(tree))
     for seam, rows in ((here, start), (here + 1, end)):
-        part = t.take(pa.array(rows)).drop_columns(["tree", "key"])
+        part = t.take(pa.array(rows)).drop_columns(["tree"])
         part = part.append_column("tree", pa.array(seam * many + tree[rows].astype(np.int64))).append_column("pos", pa.array(here * 2**32 + rows))
         yield from part.combine_chunks().to_batches()
 
@@ -303,14 +356,22 @@ def most_similar(rows: DataFrame, k: int = 5, *, dim: int = 64, min_similarity:
     shared = F.lit(-(2**62)) - F.col("cid")
     rows_of = classes.select("cid", "asks", "q", "off", "keys", F.lit(True).alias("shown"), F.when(F.col("g0") == F.col("g1"), F.col("g0")).otherwise(shared).alias("grp"))
     views_of = classes.select("cid", F.lit(True).alias("asks"), "q", "off", "keys", F.lit(False).alias("shown")).join(views, "cid")
-    entries = rows_of.unionByName(views_of).select(F.posexplode("keys").alias("tree", "key"), "cid", "asks", "shown", "q", "off", "grp")
+    entries = rows_of.unionByName(views_of)
+    tree, state = F.posexplode("keys").alias("tree", "key"), ["cid", "asks", "shown", "grp"]
     window, found = forest.window, "cid bigint, view bigint, near bigint, low float, high float"
     # equal keys stand in another order in each tree, so that each shows other rows
     order, ranges = ["tree", "key", F.xxhash64("tree", "cid")], max(1, -(-size * trees // forest.rows_per_task))
-    arrays = entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    in_order = lambda d: d.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # the descent in every tree, then the level at which the trees together hold enough
+    levels = ", ".join(f"n{x} int" for x in LEVELS)
+    counts = in_order(entries.select(tree, *state)).mapInArrow(_descend, f"cid bigint, grp bigint, {levels}")
+    held = counts.groupBy("cid", "grp").agg(*[F.sum(f"n{x}").alias(f"n{x}") for x in LEVELS])
+    stop = F.coalesce(*[F.when(F.col(f"n{x}") >= forest.enough, x) for x in LEVELS], F.lit(0))
+    entries = entries.join(held.select("cid", "grp", stop.cast("tinyint").alias("depth")), ["cid", "grp"], "left").fillna(0, ["depth"])
+    arrays = in_order(entries.select(tree, *state, "q", "off", "depth"))
     near = arrays.mapInArrow(lambda it: _ascend(it, k, min_similarity, window, dim), found)
     if ranges > 1:
-        edges = arrays.mapInArrow(lambda it: _edges(it, window, trees), "cid bigint, asks boolean, shown boolean, q binary, off float, grp bigint, tree bigint, pos bigint")
+        edges = arrays.mapInArrow(lambda it: _edges(it, window, trees), "key bigint, cid bigint, asks boolean, shown boolean, grp bigint, q binary, off float, depth tinyint, tree bigint, pos bigint")
         seams = edges.repartition("tree").sortWithinPartitions("tree", "pos")
         near = near.unionByName(seams.mapInArrow(lambda it: _ascend(it, k, min_similarity, window, dim), found))
     near = near.repartition("cid").groupBy("cid", "view", "near").agg(F.max("low").alias("low"), F.max("high").alias("high"))
@@ -356,7 +417,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar rows for every row whose id is divisible by 100,
     whatever the similarity; far neighbours need wider ranges than near ones."""
-    wide = Forest(trees=16, window=4096, rows_per_task=80_000)
+    wide = Forest(trees=16, window=4096, enough=65_536, rows_per_task=80_000)
     return most_similar(_chunks(spark, folder), 5, asks="id % 100 = 0", forest=wide)
 
 
