@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("neighbours", "answers", "name_variants", "entities", "scans", "neardup", "splitting", "packing", "mixing", "lookalikes")
+# imported here, so that a missing library is known when this module is imported
+from folioforge.llm import answers, entities, lookalikes, mixing, name_variants, neardup, neighbours, packing, scans, splitting
 
-
-def _modules() -> list:
-    return [importlib.import_module(f"{__package__}.{name}") for name in MODULES]
+MODULES = (neighbours, answers, name_variants, entities, scans, neardup, splitting, packing, mixing, lookalikes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -18,7 +18,11 @@ Nothing is grouped in Python: roles of words, owners of initials and entities co
 joins and aggregates on (family name, given name), and pairs are made in blocks, so
 that a family name shared by a third of all people is split over tasks.
 
-Defined results: null and empty lists and names give nothing. Repeated rows count once
+Defined results: every spelling has an entity. Spellings that cannot be read as a person's
+or a group's name (one word alone, initials alone, more than four long words) are linked
+if their words are equal but for case, accents and order. A word of up to three letters is
+taken as written, since one edit of it makes another name as often as a misspelling.
+Null and empty lists and names give nothing. Repeated rows count once
 for weights. Spellings are compared as typed: equal strings are one spelling. An
 initial that fits several people about equally well is linked to none of them.
 """
@@ -208,7 +212,7 @@ def entities(mentions: DataFrame, much: float = 4.0, share: float = 0.75) -> Dat
     """(spelling, entity) of mentions (field string), a row for each list of names.
     much: how much more frequent a word is than its misspelling; share: the part of
     the mentions that a person must have to get an initial that others fit too."""
-    spelt = mentions.where("field is not null").mapInArrow(_spellings, "spelling string").groupBy("spelling").agg(F.count("*").alias("n"))
+    spelt = cut(mentions.where("field is not null").mapInArrow(_spellings, "spelling string").groupBy("spelling").agg(F.count("*").alias("n")))
     read = cut(spelt.mapInArrow(_read, _ROLE))
     words = cut(read.select(F.explode("words").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")))
     similar = cut(similar_words(words))
@@ -260,7 +264,9 @@ def entities(mentions: DataFrame, much: float = 4.0, share: float = 0.75) -> Dat
     # initials and short forms: the person of the family whom they fit, if one prevails
     bare = people.where("given is null and start is not null")
     askers = bare.select("family", "start", "middle").distinct()
-    fits = askers.join(known, "family").where(
+    # the first letter is a key too, so that a frequent family name is parted
+    letter = lambda c: F.substring(c, 1, 1)
+    fits = askers.withColumn("c", letter("start")).join(known.withColumn("c", letter("given")), ["family", "c"]).where(
         "startswith(given, start) and (middle is null or size(middles) = 0 or array_contains(middles, middle))"
     )
     exact = F.expr("middle is not null and array_contains(middles, middle)").cast("int")
@@ -292,7 +298,10 @@ def entities(mentions: DataFrame, much: float = 4.0, share: float = 0.75) -> Dat
     same = cut(same.union(only.select("entity", "b")))
     tied = connected_components(same).select(F.col("node").alias("entity"), "component")
     out = full.select("spelling", "entity").union(bare.select("spelling", "entity")).join(tied, "entity", "left")
-    return groups.union(out.select("spelling", F.coalesce("component", "entity").alias("entity")))
+    known = cut(groups.union(out.select("spelling", F.coalesce("component", "entity").alias("entity"))))
+    words = F.array_sort(F.concat("words", "initials", "short"))
+    rest = spelt.mapInArrow(_read, _ROLE).join(known.select("spelling"), "spelling", "left_anti")
+    return known.union(rest.select("spelling", F.concat(F.lit("o|"), F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(F.col("spelling"))).alias("entity")))
 
 
 def soft_similarity(a: str, b: str, weights: dict[str, float]) -> float:

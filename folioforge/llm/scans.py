@@ -13,8 +13,8 @@ texts is wrapped again with furniture set in, words are cut and misread by rule.
 ``sample`` texts, titles and words each is the bound.
 
 Scale: all texts are counted for the vocabulary with map-side partial sums; only texts
-with line breaks reach Python. Retrieval and ranking work on distinct words, prefix
-grams first, hot grams in blocks. Texts move in no shuffle of ``p5_found``.
+with line breaks reach Python, as pages that were scanned keep their lines. Retrieval and
+ranking work on distinct words, prefix grams first, hot grams in blocks of both sides. Texts move in no shuffle of ``p5_found``.
 
 Defined results: null texts and null ids give nothing; texts without line breaks have
 no noise; blank lines part paragraphs. Repeated rows count once; if texts of one id
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.boosting import Boosted
 from folioforge.plans.lineage import cut
-from folioforge.plans.skew import pairs_by_key
+from folioforge.plans.skew import meet_by_key, spread
 from folioforge.sources.tables import table
 
 KINDS = ("hyphen", "misread", "header", "page")
@@ -323,8 +323,8 @@ def retrieve(suspects: DataFrame, known: DataFrame, ratio: float = 8.0) -> DataF
     for s, d in flat.items():
         ranked = d.join(order, "gram", "left").groupBy("word").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "gram"))).alias("r"))
         prefix[s] = ranked.select("word", F.explode(F.expr(f"transform(slice(r, 1, {CHANGED + 1}), y -> y.gram)")).alias("gram"))
-    met = prefix["seen"].withColumnRenamed("word", "seen").join(prefix["meant"].withColumnRenamed("word", "meant"), "gram")
-    met = met.where("seen <> meant and abs(length(seen) - length(meant)) <= 1").select("seen", "meant").distinct()
+    met = meet_by_key(prefix["seen"].withColumnRenamed("word", "a"), prefix["meant"].withColumnRenamed("word", "b"), "gram").withColumnsRenamed({"a": "seen", "b": "meant"})
+    met = met.where("seen <> meant and abs(length(seen) - length(meant)) <= 1")
     for s, d in sides.items():
         more = ["clean"] if s == "seen" else []
         met = met.join(d.select(F.col("word").alias(s), F.col("g").alias(f"g_{s}"), F.col("n").alias(f"n_{s}"), *more), s)
@@ -392,7 +392,7 @@ class Scans:
     def __init__(self, texts: DataFrame, titles: DataFrame, sample: int = 1500) -> None:
         total = texts.select("record_id").count()
         texts = texts.select("record_table", "record_id", "text").where("record_id is not null and text is not null")
-        self.texts, self.sample = texts, sample
+        self.texts, self.sample, self.total = texts, sample, total
         self.vocabulary = cut(vocabulary(texts))
         plain = texts.where(~F.col("text").contains("\n") & F.length("text").between(200, 2000))
 
@@ -456,7 +456,7 @@ class Scans:
         joins = self.scanned.select(*key, F.explode("breaks").alias("brk")).join(self.joins(), "brk").groupBy(*key).agg(F.collect_set("brk").alias("joins"))
         broken = self.texts.where(F.col("text").contains("\n")).distinct().join(fixes, key, "left").join(joins, key, "left")
         header, page = self.header, self.page
-        mended = broken.mapInArrow(lambda it: _repair(it, header, page), "record_table string, record_id bigint, text string")
+        mended = spread(broken, self.total).mapInArrow(lambda it: _repair(it, header, page), "record_table string, record_id bigint, text string")
         return mended.union(self.texts.where(~F.col("text").contains("\n")).distinct())
 
 

@@ -33,6 +33,11 @@ def test_name_linking(spark):
     assert ("Susanne Trekova", "Trekova, S.") in got
     assert all(a < b for a, b in got)
     assert name_variants.linked_spellings(df.where("false")).count() == 0
+    odd = ["Sukarno", "SUKARNO", "J. K.", "One Two Three Four Five Six", "Li", "Kim Lee", "Lee K"]
+    more = df.union(spark.createDataFrame([("; ".join(odd), "e", 1)], df.schema))
+    every = {r.spelling: r.entity for r in name_variants.entities(more).collect()}
+    assert set(every) == set(odd) | {n for x in lists for n in author_names(x)}
+    assert every["Sukarno"] == every["SUKARNO"] != every["Li"]
 
 
 def test_one_edit_and_prefix_join(spark):
