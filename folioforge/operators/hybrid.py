@@ -7,10 +7,13 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import keywords, token_estimate
+from folioforge.operators.context import PINNED_SCORE, pinned
 from folioforge.operators.lexical import relevant_sentences, words_in
 from folioforge.operators.vectors import knn
 
 RRF, CAP, OVERHEAD = 60, 3, 15  # fixed values
+#: Parts in which the chunks of one word are ranked before they meet.
+PARTS = 32
 
 
 def keyword_ranks(questions: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
@@ -18,9 +21,14 @@ def keyword_ranks(questions: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     asked = questions.select("qid", F.slice(keywords(F.col("question")), 1, 8).alias("words"))
     # distinct words are looked up once for all questions; the pairs come back by join
     words = asked.select("qid", F.explode(F.array_distinct("words")).alias("w"))
+    # the order is by importance alone, so no more than a word's n best can be among a question's
+    first = [F.desc_nulls_last("importance"), F.col("id")]
     hits = words_in(chunks.select("id", "text"), words.select("w").distinct()).join(chunks.select("id", "importance"), "id")
+    hits = hits.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(PARTS)))  # a frequent word's chunks are ranked in parts first
+    for keys in (["w", "p"], ["w"]):
+        hits = hits.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(*first))).where(F.col("r") <= n)
     found = hits.join(words, "w").select("qid", "id", "importance").distinct()
-    order = W.partitionBy("qid").orderBy(F.desc("importance"), "id")
+    order = W.partitionBy("qid").orderBy(*first)
     return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < n).select("qid", "id", "rank")
 
 
@@ -54,20 +62,25 @@ def greedy(items: Column, cost: str, budget: Column) -> Column:
     return F.aggregate(items, start, step)["kept"]
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, top: int = 8, budget: int = 2457, dim: int = 64) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, top: int = 8, budget: int = 2457, dim: int = 64, pins: DataFrame | None = None) -> DataFrame:
     """(qid, place, id, paper_id, section, score, excerpt) of the context for each of
-    questions (qid, question, vec), from chunks (id, paper_id, chunk_index, text, vec,
-    section, importance, valid).
+    questions (qid, question, vec), from chunks (id, paper_id, chunk_index, chunk_type,
+    text, vec, section, importance, valid). Papers pinned (qid, paper_id) that are not
+    among the best come in with their best opening chunk at a low score.
 
-    A group that the packer folds holds at most ``top`` rows.
+    A group that the packer folds holds at most ``top`` rows and the pinned ones.
     """
     valid = chunks.where("valid")
     dense = knn(questions, valid, 3 * top, dim).select("qid", "id", "rank")
+    weight = F.when(F.coalesce("importance", F.lit(0.0)) == 0, 0.5).otherwise(F.col("importance"))
     kept = capped(fuse(dense, keyword_ranks(questions, valid, 3 * top)), valid, top)
+    kept = kept.select("qid", "place", "id", "paper_id", "section", "text", F.round(F.col("rrf") * weight, 9).alias("score"))
+    if pins is not None:
+        more = pinned(kept.select("qid", "paper_id"), pins, valid)
+        kept = kept.unionByName(more.select("qid", (top + F.row_number().over(W.partitionBy("qid").orderBy("paper_id"))).alias("place"), "id", "paper_id", "section", "text", F.lit(PINNED_SCORE).alias("score")))
     asked = questions.select("qid", F.array_distinct(keywords(F.col("question"))).alias("words"))
-    cut = kept.join(asked, "qid").withColumn("excerpt", relevant_sentences(F.col("text"), F.col("words")))
-    weight = F.when(F.coalesce("importance", F.lit(0.0)) == 0, 0.5).otherwise(F.col("importance"))
-    cut = cut.withColumn("score", F.round(F.col("rrf") * weight, 9)).withColumn("cost", token_estimate(F.col("excerpt")) + OVERHEAD)
+    cut = kept.join(asked, "qid").withColumn("excerpt", F.regexp_replace(relevant_sentences(F.col("text"), F.col("words")), r"^\s+|\s+$", ""))
+    cut = cut.where("excerpt <> ''").withColumn("cost", token_estimate(F.col("excerpt")) + OVERHEAD)
     one = F.struct((-F.col("score")).alias("o"), "place", "cost", "id", "paper_id", "section", "score", "excerpt")
     packed = cut.groupBy("qid").agg(F.array_sort(F.collect_list(one)).alias("items"))
     return packed.select("qid", F.explode(greedy(F.col("items"), "cost", F.lit(budget))).alias("x")).select(

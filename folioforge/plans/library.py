@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.sources.tables import table
@@ -14,13 +14,19 @@ def papers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "papers")
 
 
-def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks, a repeated row counted once. Only the columns that a plan uses are read."""
-    return table(spark, folder, "paper_chunks").dropDuplicates(["id"]).select(
+def chunks(spark: SparkSession, folder: str, where: str | Column | None = None, *, valid: bool = False) -> DataFrame:
+    """Chunks that meet ``where``, a repeated row counted once. Only the columns that a
+    plan uses are read. Repeated rows are equal, so the filters stand below the
+    deduplication and reach the scan, and only rows that are left are shuffled for it."""
+    raw = table(spark, folder, "paper_chunks")
+    if valid:
+        raw = raw.where("is_valid")
+    c = raw.select(
         "id", "paper_id", "chunk_index", F.col("text_content").alias("text"), F.col("embedding_vector").alias("vec"),
         F.col("section_name").alias("section"), "chunk_type", F.col("importance_score").alias("importance"),
         F.coalesce("is_valid", F.lit(False)).alias("valid"), "chunk_hash", "content_version", "created_at", "model_name",
     )
+    return (c if where is None else c.where(where)).dropDuplicates(["id"])
 
 
 def asking(c: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ d as (select q.id as qid, v.id, v.paper_id, round(power(array_distance(q.x, v.x)
 
 @query(f"with {_C}, {_D} select qid, id, distance, (r - 1)::int as rank from (select *, row_number() over (partition by qid order by distance, id) as r from d) where r <= 24")
 def v1_knn(spark, folder):
-    c = L.chunks(spark, folder).where("valid")
+    c = L.chunks(spark, folder, valid=True)
     return V.knn(L.asking(c), c, 24, L.DIM)
 
 
@@ -45,14 +45,14 @@ _G = "g as (select qid, paper_id as grp, min(distance) as distance from (select
 
 @query(f"with {_C}, {_D}, {_G} select qid, grp, distance from (select *, row_number() over (partition by qid order by distance, grp) as r from g) where r <= 8")
 def v3_top_papers(spark, folder):
-    c = L.chunks(spark, folder).where("valid")
+    c = L.chunks(spark, folder, valid=True)
     return V.nearest_groups(L.asking(c), c.select("id", F.col("paper_id").alias("grp"), "vec"), 8, L.DIM)
 
 
 @query(f"with {_C}, {_D}, {_G.replace('24', '60')}, t as (select *, row_number() over (partition by qid order by distance, grp) as r from g), s as (select t.*, c.paper_id from t join c on c.id = t.qid where r <= 20 and t.grp <> c.paper_id) select qid, grp, distance from (select *, row_number() over (partition by qid order by distance, grp) as n from s) where n <= 5")
 def t5_similar_papers(spark, folder):
     """The five papers nearest to a chunk, without its own."""
-    c = L.chunks(spark, folder).where("valid")
+    c = L.chunks(spark, folder, valid=True)
     near = V.nearest_groups(L.asking(c), c.select("id", F.col("paper_id").alias("grp"), "vec"), 20, L.DIM)
     seeds = c.select(F.col("id").alias("qid"), F.col("paper_id").alias("grp"))
     left = near.join(seeds, ["qid", "grp"], "left_anti")
@@ -63,7 +63,7 @@ def t5_similar_papers(spark, folder):
 e as (select t.id, t.paper_id, unnest({tokens_sql('t.text')}) as term from c t where t.valid)
 select count(*)::bigint as docs, (select count(distinct term) from e)::bigint as terms, (select count(*) from e)::bigint as postings from c where valid""")
 def a6_term_statistics(spark, folder):
-    c = L.chunks(spark, folder).where("valid").select("id", T.tokens(F.col("text")).alias("t"))
+    c = L.chunks(spark, folder, valid=True).select("id", T.tokens(F.col("text")).alias("t"))
     flat = c.select(F.explode("t").alias("term")).agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"))
     # two frames of one row each
     return c.agg(F.count("*").alias("docs")).join(F.broadcast(flat)).select("docs", "terms", "postings")
@@ -80,7 +80,7 @@ select qid, id, score from (select *, row_number() over (partition by qid order
 def r6_bm25(spark, folder):
     """The five chunks that match best for every paper title whose id is divisible by 100."""
     q = L.papers(spark, folder).where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("title").alias("question"))
-    return X.bm25(q, L.chunks(spark, folder).where("valid and text is not null").select("id", "text"), 5)
+    return X.bm25(q, L.chunks(spark, folder, "text is not null", valid=True).select("id", "text"), 5)
 
 
 @query(f"""with {_C},
@@ -92,7 +92,7 @@ k as (select distinct n.id, n.i, n.x from n join t on t.id = n.id and abs(t.i -
 e as (select id, string_agg(x, ' ' order by i) as y from k group by id)
 select s.id, sha256(coalesce(e.y, s.text)) as digest from s left join e on e.id = s.id""")
 def r5_relevant_sentences(spark, folder):
-    c = L.chunks(spark, folder).where("text is not null").select("id", "paper_id", "text")
+    c = L.chunks(spark, folder, "text is not null").select("id", "paper_id", "text")
     p = L.papers(spark, folder).select(F.col("id").alias("paper_id"), F.array_distinct(T.keywords(F.col("title"))).alias("k"))
     return c.join(p, "paper_id").select("id", F.sha2(X.relevant_sentences(F.col("text"), F.col("k")), 256).alias("digest"))
 
@@ -106,24 +106,24 @@ def pr3_keyword_papers(spark, folder):
 @query(f"with {_C} select id, importance from (select id, importance from c where valid and (contains(lower(text), 'sparse') or contains(lower(text), 'glacier')) order by importance desc nulls last, id limit 50)")
 def pr5_keyword_chunks(spark, folder):
     """A top-50 report by importance of chunks that hold one of two words."""
-    c = L.chunks(spark, folder).where("valid").where(X.keyword_match(F.col("text"), F.array(F.lit("sparse"), F.lit("glacier"))))
+    c = L.chunks(spark, folder, valid=True).where(X.keyword_match(F.col("text"), F.array(F.lit("sparse"), F.lit("glacier"))))
     return c.orderBy(F.desc_nulls_last("importance"), "id").select("id", "importance").limit(50)
 
 
 @query(f"with {_C} select id, chunk_index from c where valid and paper_id = 1 and section ilike '%method%'")
 def pr4_section_filter(spark, folder):
-    return L.chunks(spark, folder).where("valid and paper_id = 1").where(F.col("section").ilike("%method%")).select("id", "chunk_index")
+    return L.chunks(spark, folder, "paper_id = 1", valid=True).where(F.col("section").ilike("%method%")).select("id", "chunk_index")
 
 
 @query(f"with {_C} select c.id, c.paper_id, c.chunk_index from c where valid and (paper_id, chunk_index) in (select id, 0 from papers where year >= 2020)")
 def pr6_chunks_by_key(spark, folder):
     keys = L.papers(spark, folder).where("year >= 2020").select(F.col("id").alias("paper_id"), F.lit(0).alias("chunk_index"))
-    return L.chunks(spark, folder).where("valid").join(keys, ["paper_id", "chunk_index"], "left_semi").select("id", "paper_id", "chunk_index")
+    return L.chunks(spark, folder, valid=True).join(keys, ["paper_id", "chunk_index"], "left_semi").select("id", "paper_id", "chunk_index")
 
 
 @query(f"with {_C} select id, paper_id, importance from c where chunk_type in ('abstract', 'introduction')")
 def pr7_chunks_by_type(spark, folder):
-    return L.chunks(spark, folder).where(F.col("chunk_type").isin("abstract", "introduction")).select("id", "paper_id", "importance")
+    return L.chunks(spark, folder, F.col("chunk_type").isin("abstract", "introduction")).select("id", "paper_id", "importance")
 
 
 _K = f"""
@@ -143,7 +143,7 @@ def _fused(c):
 
 @query(f"with {_C}, {_D}, {_K} select qid, id, rrf from f")
 def r8_rank_fusion(spark, folder):
-    return _fused(L.chunks(spark, folder).where("valid"))[1]
+    return _fused(L.chunks(spark, folder, valid=True))[1]
 
 
 @query(f"""with {_C}, {_D}, {_K},
@@ -152,7 +152,7 @@ p as (select *, row_number() over (partition by qid, paper_id order by rrf desc,
 t as (select *, row_number() over (partition by qid order by rrf desc, paper_id, chunk_index, id) as place from p where n <= 3)
 select qid, id, paper_id, rrf, place::int as place from t where place <= 8""")
 def w3_capped_fusion(spark, folder):
-    c = L.chunks(spark, folder).where("valid")
+    c = L.chunks(spark, folder, valid=True)
     return H.capped(_fused(c)[1], c, 8).select("qid", "id", "paper_id", "rrf", "place")
 
 
@@ -173,7 +173,7 @@ w as (select qid, id, r, case when cost <= 400 then cost else 0 end as used, cos
 select qid, id from w where kept""")
 def w6_greedy_packing(spark, folder):
     """Of each question's eight best chunks those that fit 400 tokens, greedily."""
-    c = L.chunks(spark, folder).where("valid")
+    c = L.chunks(spark, folder, valid=True)
     best = H.capped(_fused(c)[1], c, 8)
     one = F.struct("place", "id", (T.token_estimate(F.col("text")) + 15).alias("cost"))
     g = best.groupBy("qid").agg(F.array_sort(F.collect_list(one)).alias("items"))

@@ -131,7 +131,7 @@ _CASES = " ".join(f"when contains(n, '{p}') then '{k}'" for p, k in T.SECTION_TY
 
 @query(f"select id, case {_CASES} else 'section' end as kind from (select distinct id, lower(section_name) as n from paper_chunks where section_name is not null)")
 def c9_classify_sections(spark, folder):
-    return L.chunks(spark, folder).where("section is not null").select("id", T.classify_section(F.col("section")).alias("kind"))
+    return L.chunks(spark, folder, "section is not null").select("id", T.classify_section(F.col("section")).alias("kind"))
 
 
 @query("select chunk_type, importance::double as importance, count(distinct id)::bigint as n from (select id, chunk_type, case chunk_type " + " ".join(f"when '{k}' then {v}" for k, v in T.IMPORTANCE.items()) + " else 0.5 end as importance from paper_chunks) group by all")
