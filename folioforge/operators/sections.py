@@ -90,13 +90,40 @@ def aligned_section(chunks: DataFrame, papers: DataFrame, name: str, budget: int
     return papers.select("paper_id").distinct().join(s, "paper_id", "left").select("paper_id", F.coalesce("excerpt", F.lit(f"[Section '{name}' not found]")).alias("excerpt"))
 
 
-def common_sections(names: DataFrame, papers: list[int]) -> DataFrame:
-    """(section, first): sections of the first of ``papers`` that each other has too,
-    where one name holds the other."""
-    mine = names.where(F.col("paper_id") == papers[0]).select("section", "first")
-    rest = sorted(set(papers[1:]))
-    theirs = names.where(F.col("paper_id").isin(rest)).select("paper_id", F.lower("section").alias("s"))
-    low = F.lower(F.col("section"))
-    # both sides are the sections of a few named papers
-    pairs = mine.join(theirs, F.contains(F.col("s"), low) | F.contains(low, F.col("s")))
-    return pairs.groupBy("section", "first").agg(F.count_distinct("paper_id").alias("n")).where(F.col("n") == len(rest)).select("section", "first")
+#: What a section of each usual name may be called.
+SECTION_WORDS = {
+    "abstract": ("abstract", "summary"), "introduction": ("introduction", "intro", "background"),
+    "methodology": ("method", "methodology", "approach", "technique"), "results": ("result", "finding", "outcome", "observation"),
+    "discussion": ("discussion", "analysis", "interpretation"), "conclusion": ("conclusion", "summary", "final"),
+}
+
+
+def likeness(wanted: Column, section: Column) -> Column:
+    """0 where one of two lower-case names holds the other, 1 where the section holds a
+    word that stands for the wanted name, else null."""
+    words = F.array(wanted)
+    for name, known in SECTION_WORDS.items():
+        words = F.when(wanted == name, F.array(*map(F.lit, known))).otherwise(words)
+    inside = F.contains(section, wanted) | F.contains(wanted, section)
+    return F.when(inside, 0).when(F.exists(words, lambda w: F.contains(section, w)), 1)
+
+
+def fuzzy_sections(names: DataFrame, wanted: list[str]) -> DataFrame:
+    """(paper_id, name, section): for each paper and each name wanted the section meant
+    by it, from (paper_id, section, first): by inclusion before words, in text order."""
+    each = names.withColumn("name", F.explode(F.array(*map(F.lit, wanted))))
+    each = each.withColumn("rank", likeness(F.col("name"), F.lower("section"))).where("rank is not null")
+    return each.groupBy("paper_id", "name").agg(F.min_by("section", F.struct("rank", "first", "section")).alias("section"))
+
+
+def common_sections(names: DataFrame, lists: DataFrame) -> DataFrame:
+    """(note, section, first): for lists (note, papers) the sections of the first paper
+    that each other paper of the list has too, by inclusion or usual words. Sections
+    meet only within a list."""
+    l = lists.where(F.size("papers") > 0).select("note", F.element_at("papers", 1).alias("lead"), F.array_distinct("papers").alias("papers"))
+    l = l.withColumn("rest", F.filter("papers", lambda p: p != F.col("lead")))
+    mine = l.select("note", F.col("lead").alias("paper_id"), F.size("rest").alias("need")).join(names, "paper_id").drop("paper_id")
+    others = l.select("note", F.explode("rest").alias("paper_id")).join(names.select("paper_id", F.lower("section").alias("s")).distinct(), "paper_id")
+    met = mine.select("note", "section").join(others, "note").where(likeness(F.lower("section"), F.col("s")).isNotNull())
+    n = met.groupBy("note", "section").agg(F.count_distinct("paper_id").alias("n"))
+    return mine.join(n, ["note", "section"], "left").where(F.coalesce("n", F.lit(0)) == F.col("need")).select("note", "section", "first")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
+from folioforge.operators import context as X2
 from folioforge.operators import hybrid as H
 from folioforge.operators import lexical as X
 from folioforge.operators import sections as S
@@ -156,11 +157,75 @@ def w3_capped_fusion(spark, folder):
     return H.capped(_fused(c)[1], c, 8).select("qid", "id", "paper_id", "rrf", "place")
 
 
-@query()
+_R9 = f"""with recursive {_C.strip()}, {_D}, {_K},
+j as (select f.qid, f.id, f.rrf, c.paper_id, c.chunk_index, c.section, c.importance, c.text from f join c using (id) where length(c.text) > 0),
+p as (select *, row_number() over (partition by qid, paper_id order by rrf desc, paper_id, chunk_index, id) as n from j),
+t as (select *, row_number() over (partition by qid order by rrf desc, paper_id, chunk_index, id) as place from p where n <= 3),
+q as (select id as qid, paper_id as own, text as question, list_distinct({keywords_sql('text')}) as words from c where valid and id % 100 = 0 and len(vec) = 64),
+o as (select *, row_number() over (partition by paper_id order by importance desc nulls last, id) as n from c where valid and chunk_type in ('abstract', 'introduction', 'paragraph') and text is not null),
+k as (select qid, place, id, paper_id, section, text, round(rrf * case when coalesce(importance, 0) = 0 then 0.5 else importance end, 9) as score from t where place <= 8
+  union all select q.qid, 9, o.id, o.paper_id, o.section, o.text, 0.05 from q join o on o.paper_id = q.own and o.n = 1 where not exists (select 1 from t where t.qid = q.qid and t.paper_id = q.own and t.place <= 8)),
+ss as (select k.qid, k.id, k.text, {sentences_sql('k.text')} as s, q.words as w from k join q using (qid)),
+su as (select qid, id, unnest(s) as x, generate_subscripts(s, 1) as i, w from ss where len(s) > 5 and len(w) > 0),
+sn as (select qid, id, x, i, len(list_intersect(w, list_distinct({tokens_sql('x')}))) as n from su),
+st as (select qid, id, i from (select *, row_number() over (partition by qid, id order by n desc, i) as r from sn) where r <= 3),
+sk as (select distinct sn.qid, sn.id, sn.i, sn.x from sn join st on st.qid = sn.qid and st.id = sn.id and abs(st.i - sn.i) <= 1),
+se as (select qid, id, string_agg(x, ' ' order by i) as y from sk group by all),
+x as (select k.*, regexp_replace(coalesce(se.y, k.text), '^\\s+|\\s+$', '', 'g') as excerpt from k left join se using (qid, id)),
+i as (select *, greatest(1, length(excerpt) // 4) + 15 as cost, row_number() over (partition by qid order by score desc, place) as r from x where excerpt <> ''),
+g as (select qid, r, case when cost <= 600 then cost else 0 end as used, cost <= 600 as kept from i where r = 1
+  union all select i.qid, i.r, case when g.used + i.cost <= 600 then g.used + i.cost else g.used end, g.used + i.cost <= 600 from g join i on i.qid = g.qid and i.r = g.r + 1),
+h as (select i.* from i join g using (qid, r) where g.kept)
+"""
+
+
+def _retrieved(spark, folder):
+    c = L.chunks(spark, folder, valid=True)
+    q = c.where((F.col("id") % 100 == 0) & (F.size("vec") == L.DIM)).select(F.col("id").alias("qid"), F.col("text").alias("question"), "vec", "paper_id")
+    return H.retrieve(q.drop("paper_id"), c, 8, 600, L.DIM, pins=q.select("qid", "paper_id"))
+
+
+@query(_R9 + "select qid, place::int as place, id, paper_id, section, score::double as score, sha256(excerpt) as digest from h")
 def r9_hybrid_retrieve(spark, folder):
-    """The context packed for every valid chunk whose id is divisible by 100."""
-    c = L.chunks(spark, folder)
-    return H.retrieve(L.asking(c), c, 8, 600, L.DIM)
+    """The context packed for every valid chunk whose id is divisible by 100, its own
+    paper being pinned."""
+    r = _retrieved(spark, folder)
+    return r.select("qid", "place", "id", "paper_id", "section", "score", F.sha2("excerpt", 256).alias("digest"))
+
+
+@query(_R9 + """, b as (select h.qid, h.score, h.place, h.paper_id, coalesce(nullif(p.title, ''), 'Untitled') as title, coalesce(p.authors, '') as authors, coalesce(p.year::varchar, '') as year, coalesce(h.section, 'Content') as section, h.excerpt from h join papers p on p.id = h.paper_id),
+e as (select distinct qid, paper_id, '  Paper ' || paper_id || ': [id ' || paper_id || '] ' || title || ' — ' || authors || ', ' || year as l from b),
+n as (select qid, string_agg(l, chr(10) order by paper_id) as legend, count(*) as papers from e group by qid),
+m as (select qid, string_agg('[Paper ' || paper_id || ' | ' || case when length(title) > 55 then substring(title, 1, 55) || '…' else title end || ' | ' || section || ']' || chr(10) || excerpt, chr(10) || chr(10) order by score desc, place) as blocks from b group by qid)
+select qid, sha256('Papers in context:' || chr(10) || legend || chr(10) || chr(10) || blocks) as digest, papers::int as papers from n join m using (qid)""")
+def r10_context_blocks(spark, folder):
+    """The context of each question as the model reads it: legend and labelled blocks."""
+    c = X2.context_blocks(_retrieved(spark, folder), L.papers(spark, folder))
+    return c.select("qid", F.sha2("context", 256).alias("digest"), "papers")
+
+
+@query(_R9 + "select h.qid, h.id, coalesce(nullif(p.title, ''), 'Untitled') as title, coalesce(p.authors, '') as authors, coalesce(p.year::varchar, '') as year from h join papers p on p.id = h.paper_id")
+def j5_excerpt_titles(spark, folder):
+    return X2.titled(_retrieved(spark, folder), L.papers(spark, folder)).select("qid", "id", "title", "authors", "year")
+
+
+@query(f"""with {_C},
+o as (select *, row_number() over (partition by paper_id order by importance desc nulls last, id) as r from c where valid and chunk_type in ('abstract', 'introduction', 'paragraph') and text is not null),
+n as (select distinct n.id as qid, unnest(paper_ids) as paper_id from notes n)
+select n.qid, n.paper_id, o.id, o.section from n join o on o.paper_id = n.paper_id and o.r = 1
+where n.paper_id not in (select unnest(regexp_extract_all(coalesce(m.answer, ''), '\\[Paper\\s+(\\d+)', 1))::bigint from notes m where m.id = n.qid)""")
+def j6_pinned_papers(spark, folder):
+    """For each note the opening chunk of those of its papers that its answer does not cite."""
+    n = L.notes(spark, folder)
+    cited = n.select(F.col("id").alias("qid"), F.explode(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(r"\[Paper\s+(\d+)"), F.lit(1))).alias("p")).select("qid", F.col("p").cast("bigint").alias("paper_id"))
+    pins = n.select(F.col("id").alias("qid"), F.explode("paper_ids").alias("paper_id"))
+    return X2.pinned(cited, pins, L.chunks(spark, folder, valid=True)).select("qid", "paper_id", "id", "section")
+
+
+@query("select distinct id, floor(w * 0.6)::int as input, floor(w * 0.3)::int as response from (select id, case model " + " ".join(f"when '{m}' then {w}" for m, w in X2.WINDOWS.items()) + f" else {X2.DEFAULT_WINDOW} end as w from llm_cache)")
+def r15_model_budgets(spark, folder):
+    m = F.col("model")
+    return L.cache(spark, folder).select("id", X2.budget(m).alias("input"), X2.budget(m, X2.RESPONSE_SHARE).alias("response"))
 
 
 @query(f"""with recursive {_C.strip()}, {_D}, {_K},
@@ -201,8 +266,15 @@ def r12_structured_extract(spark, folder):
 
 
 @query(f"""with {_C},
-j as (select paper_id, substring(string_agg(text, ' ' order by coalesce(importance, 0) desc, chunk_index, id), 1, 2400) as t from c where valid and length(text) > 0 and contains(lower(section), 'results') group by all)
-select p.id as paper_id, sha256(coalesce(t, '[Section ''results'' not found]')) as digest from papers p left join j on j.paper_id = p.id""")
+v as (select * from c where valid and length(text) > 0),
+j as (select paper_id, substring(string_agg(text, ' ' order by coalesce(importance, 0) desc, chunk_index, id), 1, 2400) as t from v where contains(lower(section), 'results') group by all),
+w as (select paper_id, id, chunk_index, text, {tokens_sql('text')} as t from v where paper_id not in (select paper_id from j)),
+k as (select *, len(t) as len, len(list_filter(t, lambda x: x = 'results')) as tf from w),
+st as (select paper_id, count(*) as n, avg(len) as mean, count(*) filter (where tf > 0) as df from k group by all),
+sc as (select k.*, ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))) as score from k join st using (paper_id) where tf > 0),
+b as (select paper_id, substring(regexp_replace(string_agg(text, ' ' order by score desc, chunk_index, id), '^\\s+|\\s+$', '', 'g'), 1, 2400) as t
+  from (select *, row_number() over (partition by paper_id order by score desc, chunk_index, id) as r from sc) where r <= 5 group by all)
+select p.id as paper_id, sha256(coalesce(j.t, b.t, '[Section ''results'' not found]')) as digest from papers p left join j on j.paper_id = p.id left join b on b.paper_id = p.id""")
 def r14_aligned_sections(spark, folder):
     s = S.aligned_section(L.chunks(spark, folder), L.papers(spark, folder).select(F.col("id").alias("paper_id")), "results")
     return s.select("paper_id", F.sha2("excerpt", 256).alias("digest"))
@@ -213,8 +285,29 @@ def a4_section_names(spark, folder):
     return S.section_names(L.chunks(spark, folder))
 
 
-@query(f"""with {_C}, n as (select paper_id, section, min(chunk_index) as first from c where valid and length(section) > 0 group by all),
-o as (select distinct paper_id, lower(section) as s from n where paper_id in (2, 3))
-select n.section, n.first from n join o on contains(o.s, lower(n.section)) or contains(lower(n.section), o.s) where n.paper_id = 1 group by all having count(distinct o.paper_id) = 2""")
+_N = "n as (select paper_id, section, min(chunk_index) as first from c where valid and length(section) > 0 group by all)"
+
+
+def _fuzzy(a: str, b: str) -> str:
+    words = "case " + " ".join(f"when {a} = '{k}' then [" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in S.SECTION_WORDS.items()) + f" else [{a}] end"
+    return f"case when contains({b}, {a}) or contains({a}, {b}) then 0 when len(list_filter({words}, lambda w: contains({b}, w))) > 0 then 1 end"
+
+
+@query(f"""with {_C}, {_N}, g as (select unnest(['abstract', 'introduction', 'methodology', 'results', 'discussion', 'conclusion']) as name),
+m as (select g.name, n.*, {_fuzzy('g.name', 'lower(n.section)')} as rank from n, g)
+select paper_id, name, section from (select *, row_number() over (partition by paper_id, name order by rank, first, section) as r from m where rank is not null) where r = 1""")
+def j10_fuzzy_sections(spark, folder):
+    """The section of each paper that is meant by each of six usual names."""
+    return S.fuzzy_sections(S.section_names(L.chunks(spark, folder, valid=True)), list(S.SECTION_WORDS))
+
+
+@query(f"""with {_C}, {_N},
+l as (select id as note, paper_ids[1] as lead, list_filter(list_distinct(paper_ids), lambda x: x <> paper_ids[1]) as rest from notes where len(paper_ids) > 0),
+o as (select note, lead, unnest(rest) as other from l),
+r as (select l.note, n.section, n.first, len(l.rest) as need from l join n on n.paper_id = l.lead),
+h as (select distinct r.note, r.section, o.other from r join o on o.note = r.note join n on n.paper_id = o.other where {_fuzzy('lower(r.section)', 'lower(n.section)')} is not null)
+select r.note, r.section, r.first from r left join h on h.note = r.note and h.section = r.section group by r.note, r.section, r.first, r.need having count(h.other) = r.need""")
 def j11_common_sections(spark, folder):
-    return S.common_sections(S.section_names(L.chunks(spark, folder)), [1, 2, 3])
+    """For each note the sections of its first paper that all its papers have."""
+    lists = L.notes(spark, folder).select(F.col("id").alias("note"), F.col("paper_ids").alias("papers"))
+    return S.common_sections(S.section_names(L.chunks(spark, folder, valid=True)), lists)
