@@ -119,6 +119,11 @@ def comparison_key(ids: Column, section: Column | None = None) -> Column:
     return F.sha2(joined if section is None else F.concat_ws(":", joined, section), 256)
 
 
+def search_key(query: Column, most: int) -> Column:
+    """Cache key of an external search."""
+    return F.sha2(F.concat(query, F.lit(f"\n{most}")), 256)
+
+
 def limit_kind(message: Column) -> Column:
     """Whether a refusal for load holds for the day (rpd) or the minute (rpm)."""
     low = F.lower(message)
@@ -160,3 +165,35 @@ def themes(answers: DataFrame) -> DataFrame:
     ids = F.regexp_extract_all(F.regexp_extract("b", r"PAPERS:\s*(.+)", 1), F.lit(r"\d+"), F.lit(0))
     t = b.select("id", field("THEME").alias("theme"), field("DESCRIPTION").alias("description"), ids.alias("ids")).where("theme <> ''")
     return t.select("id", "theme", "description", F.explode("ids").alias("p")).select("id", "theme", "description", F.col("p").try_cast("bigint").alias("paper_id"))
+
+
+def themes_or_all(answers: DataFrame, papers: DataFrame) -> DataFrame:
+    """(id, theme, description, paper_id): the themes of each answer (id, text) with those
+    of its papers (id, paper_id) that they name; where an answer has no theme, one theme
+    of all its papers."""
+    found = themes(answers)
+    named = found.join(papers, ["id", "paper_id"], "left_semi").select("id", "theme", "description", "paper_id").distinct()
+    rest = papers.join(found.select("id").distinct(), "id", "left_anti")
+    return named.unionByName(rest.select("id", F.lit("Overview of the Literature").alias("theme"), F.lit("A synthesis of all reviewed papers.").alias("description"), "paper_id"))
+
+
+def email(text: Column) -> Column:
+    return _found(text, r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}")
+
+
+#: Fixed value: what asks for a review of the literature.
+REVIEW = r"(?i)\b(literature\s+review|lit\s+review|write\s+a\s+review|review\s+(the\s+)?literature|systematic\s+review)\b"
+
+
+def topic(question: Column) -> Column:
+    """What a review is asked about, without the words that ask for it and the papers named."""
+    t = question
+    for pattern in (REVIEW, r"(?i)\b(on|about|for|of|the)\b", r"(?i)\bpapers?\s+\d+(?:[,\s]+\d+)*"):
+        t = F.regexp_replace(t, pattern, "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[ .,?]+|[ .,?]+$", "")
+    return F.when(t == "", "Research Library").otherwise(t)
+
+
+def merged(embedded: Column, found: Column) -> Column:
+    """A field of a file's own metadata, or what was found in its text."""
+    return F.coalesce(F.nullif(F.trim(embedded), F.lit("")), found)

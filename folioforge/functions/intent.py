@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Patterns by which questions are told apart, matched in lower case.
@@ -43,3 +43,32 @@ def dispatch(question: Column) -> Column:
         .when(asks(question, LIST_SECTIONS), "list_sections").when(one & section_named(question).isNotNull(), "summarize_section")
         .when(one, "summarize").otherwise("qa")
     )
+
+
+#: Sections as a comparison may name them, the first that fits.
+SECTION_FORMS = {
+    "abstract": [r"\babstract[s]?\b"],
+    "introduction": [r"\bintroduction\b", r"\bintro\b"],
+    "methodology": [r"\bmethodolog(?:y|ies)\b", r"\bmethod[s]?\b", r"\bapproach(?:es)?\b"],
+    "results": [r"\bresult[s]?\b", r"\bfinding[s]?\b"],
+    "discussion": [r"\bdiscussion[s]?\b"],
+    "conclusion": [r"\bconclusion[s]?\b", r"\bsummar(?:y|ies)\b"],
+    "references": [r"\breference[s]?\b", r"\bcitation[s]?\b", r"\bbibliograph(?:y|ies)\b"],
+}
+
+
+def section_compared(question: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, forms in reversed(SECTION_FORMS.items()):
+        out = F.when(asks(question, forms), name).otherwise(out)
+    return out
+
+
+def comparison_requests(questions: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, question, kind, named, known) of questions (id, question) that ask to compare
+    at least two papers of those known (paper_id): of a section or of the whole papers."""
+    q = F.col("question")
+    asked = questions.where(asks(q, COMPARISON)).withColumn("ids", paper_ids(q)).where(F.size("ids") >= 2)
+    there = asked.select("id", "question", F.explode("ids").alias("paper_id")).join(known, "paper_id").groupBy("id", "question").agg(F.count("*").cast("int").alias("known"))
+    kind = F.when(section_compared(q).isNull(), "whole").otherwise("section")
+    return asked.join(there, ["id", "question"]).where("known >= 2").select("id", "question", kind.alias("kind"), F.size("ids").alias("named"), "known")

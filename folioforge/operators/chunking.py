@@ -6,10 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import sentences, token_estimate
+from folioforge.functions.text import classify_section, importance, sentences, token_estimate
 
 
 def word_windows(text: Column, size: int = 600, overlap: int = 100) -> Column:
@@ -59,46 +59,92 @@ def markdown_sections(text: Column) -> Column:
     return F.filter(F.transform(blocks, one), lambda x: x["name"].isNotNull() | (x["body"] != ""))
 
 
-#: Headings that part a paper.
-_HEADINGS = re.compile(
-    r"^[ \t]*(?:\d+\.(?:\d+\.?)*[ \t]+[A-Z][^\n]{2,100}|(?:abstract|introduction|background|related work|methods?|methodology|results?|discussion|conclusion|references?|acknowledgements?|appendix)|(?-i:[A-Z][A-Z ]{3,50}))[ \t]*$",
-    re.M | re.I,
+#: Forms of headings that part a paper, and of its abstract.
+HEADINGS = (
+    re.compile(r"^\s*(\d+\.(?:\d+\.?)*)\s+([A-Z][^\n]{2,100})\s*$", re.M),
+    re.compile(r"^\s*(\d+\.(?:\d+\.?)*)\s+([A-Z][^\n]{2,80})\n", re.M),
+    re.compile(r"^\s*(Abstract|Introduction|Background|Related Work|Methods?|Methodology|Results?|Discussion|Conclusion|References?|Acknowledgements?|Appendix)\s*$", re.M | re.I),
+    re.compile(r"^\s*([A-Z][A-Z\s]{3,50})\s*$", re.M),
 )
-_ABSTRACT = re.compile(r"\b(?:Abstract|ABSTRACT|Summary)\b[:\s]*\n(.{100,3000}?)\n\n", re.S)
-
-
-def parse_structure(text: str) -> list[tuple[str, str]]:
-    """(kind or heading, text) of a paper: title, abstract, sections, references."""
-    out = []
-    title = next((x.strip() for x in text.split("\n")[:10] if 10 < len(x.strip()) < 200), None)
-    if title:
-        out.append(("title", title))
-    found = _ABSTRACT.search(text)
-    if found:
-        out.append(("abstract", found[1].strip()))
-    heads = list(_HEADINGS.finditer(text))
-    ends = [m.start() for m in heads[1:]] + [len(text)]
-    sections = [(m[0].strip(), text[m.end() : e].strip()) for m, e in zip(heads, ends, strict=False)]
-    if not sections and not found:
-        sections = [("Main Content", (text.replace(title, "", 1) if title else text).strip())]
-    return out + [(name, body) for name, body in sections if body]
+ABSTRACT = re.compile(r"\b(Abstract|ABSTRACT|Summary)\b[:\s]*\n(.{100,3000}?)\n\n", re.S)
+#: Tokens of a chunk at most, of Markdown chunks at most, characters kept of references.
+MOST, MOST_MARKDOWN, MOST_REFERENCES = 900, 400, 2000
+
+
+def parse_structure(text: str) -> list[tuple[str, str, str]]:
+    """(kind, name, text) of a paper's parts in reading order, references last; kinds are
+    title, abstract, section and references. Parts without text are left out."""
+    titles = (line.strip() for line in text.split("\n")[:10])
+    title = next((t for t in titles if 10 < len(t) < 200), "")
+    abstract = m[2].strip() if (m := ABSTRACT.search(text)) else ""
+    # where each heading stands; of forms that fit at one place the last names it
+    marks = {m.start(): m[0].strip() for form in HEADINGS for m in form.finditer(text)}
+    bounds = [*sorted(marks), len(text)]
+    spans = {(a, marks[a]): text[a:b].strip().partition("\n")[2].strip() for a, b in zip(bounds, bounds[1:], strict=False)}
+    of_kind = {k: [("references" if k else "section", name, body) for (_, name), body in spans.items() if name.lower().startswith("reference") == k] for k in (False, True)}
+    sections, references = of_kind[False], of_kind[True][-1:]
+    if not sections and not abstract:
+        sections = [("section", "Main Content", text.replace(title, "", 1).strip() if title else text)]
+    parts = [("title", "title", title), ("abstract", "Abstract", abstract), *sections, *references]
+    return [p for p in parts if p[2]]
 
 
 def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(i, k, name, body) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) for k, (name, body) in enumerate(parse_structure(t))]
+        rows = [(i, n, *part) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) for n, part in enumerate(parse_structure(t))]
         if rows:
-            cols = list(zip(*rows, strict=True))
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3])], names=["id", "part", "name", "body"])
+            ids, parts, *texts = zip(*rows, strict=True)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), *map(pa.array, texts)], names=["id", "part", "kind", "name", "body"])
 
 
 def structure(texts: DataFrame) -> DataFrame:
-    """(id, part, name, body) of texts (id, text): one row for each part of the paper."""
-    return texts.select("id", "text").where("id is not null and text is not null").mapInArrow(_structures, "id bigint, part int, name string, body string")
+    """(id, part, kind, name, body) of texts (id, text): one row for each part of the paper."""
+    return texts.select("id", "text").where("id is not null and text is not null").mapInArrow(_structures, "id bigint, part int, kind string, name string, body string")
+
+
+def _numbered(parts: DataFrame, pieces: Column) -> DataFrame:
+    """(id, chunk_index, chunk_type, section, text, importance) of parts (id, part,
+    chunk_type, section) and the pieces of each. A text's parts are few, and its chunks
+    are numbered by how many pieces the parts before it have."""
+    p = parts.withColumn("pieces", pieces).withColumn("before", F.coalesce(F.sum(F.size("pieces")).over(W.partitionBy("id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    flat = p.select("id", "before", "chunk_type", "section", F.posexplode("pieces").alias("i", "text"))
+    return flat.select("id", (F.col("before") + F.col("i")).cast("int").alias("chunk_index"), "chunk_type", "section", "text", importance(F.col("chunk_type")).alias("importance"))
+
+
+def hybrid_chunks(texts: DataFrame, most: int = MOST) -> DataFrame:
+    """Chunks of texts (id, text) by structure: the title, the abstract, the sections by
+    sentences, the beginning of the references."""
+    kind, body = F.col("kind"), F.col("body")
+    parts = structure(texts).withColumn("chunk_type", F.when(kind == "section", classify_section(F.col("name"))).when(kind == "references", "reference").otherwise(kind))
+    parts = parts.withColumn("section", F.when(kind == "references", "References").when(kind != "title", F.col("name")))
+    whole = (kind == "title") | ((kind == "abstract") & (token_estimate(body, 0) <= most))
+    pieces = F.when(whole, F.array(body)).when(kind == "references", F.array(F.substring(body, 1, MOST_REFERENCES))).otherwise(sentence_chunks(body, most))
+    return _numbered(parts, pieces)
+
+
+def markdown_chunks(texts: DataFrame, most: int = MOST_MARKDOWN) -> DataFrame:
+    """Chunks of Markdown texts (id, text) by heading and sentence; a text of headings
+    only is cut as it is."""
+    named = texts.select("id", F.posexplode(markdown_sections(F.col("text"))).alias("part", "x")).select("id", "part", F.col("x.name").alias("section"), F.col("x.body").alias("body")).where("body <> ''")
+    bare = texts.where(F.col("text").rlike(r"\S")).join(named.select("id").distinct(), "id", "left_anti")
+    parts = named.unionByName(bare.select("id", F.lit(0).alias("part"), F.lit(None).cast("string").alias("section"), F.col("text").alias("body")))
+    parts = parts.withColumn("chunk_type", F.when(F.col("section").isNull(), "paragraph").otherwise(classify_section(F.col("section"))))
+    return _numbered(parts, sentence_chunks(F.col("body"), most))
+
+
+def chunks_by(strategy: str, texts: DataFrame) -> DataFrame:
+    """Chunks of texts (id, text) by a strategy: structure or hybrid, sentence, simple."""
+    if strategy in ("structure", "hybrid"):
+        return hybrid_chunks(texts)
+    cut = {"sentence": lambda t: sentence_chunks(t, MOST), "simple": word_windows}.get(strategy)
+    if cut is None:
+        raise ValueError("strategy is one of structure, hybrid, sentence, simple")
+    parts = texts.where(F.col("text").rlike(r"\S")).select("id", F.lit(0).alias("part"), F.lit("paragraph").alias("chunk_type"), F.lit(None).cast("string").alias("section"), "text")
+    return _numbered(parts, cut(F.col("text")))
 
 
 def chunk_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-__all__ = ["chunk_hash", "markdown_sections", "sentence_chunks", "structure", "token_estimate", "word_windows"]
+__all__ = ["chunk_hash", "chunks_by", "hybrid_chunks", "markdown_chunks", "markdown_sections", "sentence_chunks", "structure", "token_estimate", "word_windows"]

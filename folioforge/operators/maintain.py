@@ -79,3 +79,50 @@ def unique_targets(plans: DataFrame) -> DataFrame:
         "id", F.when(F.col("_n") == 0, F.col("target")).otherwise(F.regexp_replace("target", r"(\.[^.]*)?$", F.lit(""))).alias("_t"),
         "target", "_n",
     ).select("id", F.when(F.col("_n") == 0, F.col("target")).otherwise(F.concat(F.regexp_extract("target", r"^(.*?)(\.[^.]*)?$", 1), F.lit("_"), F.col("_n"), F.regexp_extract("target", r"^(.*?)(\.[^.]*)?$", 2))).alias("target"))
+
+
+def coverage(papers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: papers by embedding status, chunks by validity, and the share embedded
+    in per cent, null without papers."""
+    e = F.col("embedding_status")
+    p = papers.agg(
+        F.count("*").alias("papers"), F.count_if(e == "completed").alias("completed"), F.count_if((e == "pending") | e.isNull()).alias("pending"),
+        F.count_if(e == "failed").alias("failed"), F.count_if(F.col("content_version") > F.col("last_embedded_version")).alias("outdated"),
+    )
+    c = chunks.agg(F.count("*").alias("chunks"), F.count_if("valid").alias("valid_chunks"), F.count_if(~F.col("valid")).alias("invalid_chunks"))
+    share = F.round(F.try_divide(F.lit(100.0) * F.col("completed"), "papers"), 2)
+    return p.withColumn("coverage_pct", share).join(F.broadcast(c))  # two frames of one row
+
+
+def page(papers: DataFrame, by: str, limit: int, offset: int = 0) -> DataFrame:
+    """A page of papers by indexed_at or year, latest first, or by title; ties by id."""
+    from folioforge.functions.checks import LIMIT, between, positive, sort_by
+
+    between("limit", limit, LIMIT), positive("offset", offset, 0)
+    order = F.asc_nulls_first(by) if sort_by(by) == "title" else F.desc_nulls_last(by)
+    return papers.orderBy(order, "id").offset(offset).limit(limit)
+
+
+def update(rows: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` with the fields of ``fresh`` set by key; null fields there leave what is."""
+    given = [c for c in fresh.columns if c != key]
+    new = fresh.select(key, *[F.col(c).alias(f"_new_{c}") for c in given])
+    both = rows.join(new, key, "left")
+    return both.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in given else F.col(c) for c in rows.columns])
+
+
+def not_in_library(external: DataFrame, papers: DataFrame) -> DataFrame:
+    """Records (arxiv_id, doi, ...) of which the library holds neither identifier; empty
+    identifiers match nothing."""
+    from folioforge.functions.extract import normal_arxiv
+
+    keys = {"_arxiv": F.nullif(normal_arxiv(F.col("arxiv_id")), F.lit("")), "_doi": F.nullif(F.lower(F.trim("doi")), F.lit(""))}
+    out = external.withColumns(keys)
+    for k, e in keys.items():
+        out = out.join(papers.select(e.alias(k)).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
+    return out.drop(*keys)
+
+
+def undoable(log: DataFrame, since: Column) -> DataFrame:
+    """Log rows (created_at, can, undone) that can be undone, latest first."""
+    return log.where(F.col("can") & ~F.coalesce("undone", F.lit(False)) & (F.col("created_at") >= since)).orderBy(F.desc("created_at"), "id")

@@ -98,3 +98,16 @@ def cosine(a: str, b: str) -> F.Column:
     dot = f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * y), 0D, (s, x) -> s + x)"
     norm = lambda c: f"sqrt(aggregate({c}, 0D, (s, x) -> s + cast(x as double) * x))"
     return F.expr(f"round(try_divide({dot}, {norm(a)} * {norm(b)}), 6)")
+
+
+def fitness(vec: F.Column, dim: int) -> F.Column:
+    """fits, or why a vector cannot be added: missing or size."""
+    return F.when(vec.isNull(), "missing").when(F.size(vec) != dim, "size").otherwise("fits")
+
+
+def rerank(pairs: DataFrame, dim: int) -> DataFrame:
+    """``pairs`` (qvec, vec, ...) with their squared L2 distance, rounded to six digits;
+    1e9 where either vector is missing or of another length."""
+    apart = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
+    fit = (F.size("qvec") == dim) & (F.size("vec") == dim)
+    return pairs.withColumn("distance", F.coalesce(F.when(fit, F.round(apart, 6)), F.lit(1e9)))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import queries_library, queries_retrieval, queries_text
+from folioforge.plans import queries_library, queries_retrieval, queries_sessions, queries_text
 
 FLAGSHIP = "r9_hybrid_retrieve"
-MODULES = (queries_text, queries_retrieval, queries_library)
+MODULES = (queries_text, queries_retrieval, queries_library, queries_sessions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

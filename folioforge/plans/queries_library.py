@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.functions import extract as X
+from folioforge.operators import ingest as I
 from folioforge.operators import maintain as M
 from folioforge.plans import library as L
 from folioforge.sources.tables import table
@@ -63,11 +64,6 @@ def pr2_papers_by_ids(spark, folder):
     return L.papers(spark, folder).where(F.col("id").isin(1, 2, 3, 5, 8, 13, 999999999)).select("id", "title", "year", F.unix_micros("indexed_at").alias("indexed_at"))
 
 
-@query("select id, year from (select id, year from papers order by year desc nulls last, id limit 50 offset 100)")
-def t1_paginate(spark, folder):
-    return L.papers(spark, folder).orderBy(F.desc_nulls_last("year"), "id").offset(100).limit(50).select("id", "year")
-
-
 @query("select id, epoch_us(created_at) as created_at from (select id, created_at from notes order by created_at desc, id limit 20)")
 def t2_list_notes(spark, folder):
     return L.notes(spark, folder).orderBy(F.desc("created_at"), "id").limit(20).select("id", F.unix_micros("created_at").alias("created_at"))
@@ -80,16 +76,6 @@ def pr15_display(spark, folder):
     return L.papers(spark, folder).select("id", fill("title", "Untitled"), fill("authors", "Unknown"), year, F.round(F.col("file_size") / 1048576.0, 2).alias("mb"))
 
 
-@query(f"""with {_C} select (select count(*) from papers)::bigint as papers, (select count(*) from papers where embedding_status = 'completed')::bigint as completed,
-  (select count(*) from papers where embedding_status = 'pending' or embedding_status is null)::bigint as pending, (select count(*) from papers where content_version > last_embedded_version)::bigint as outdated,
-  count(*)::bigint as chunks, count(*) filter (where is_valid)::bigint as valid_chunks from c""")
-def a1_coverage(spark, folder):
-    e = F.col("embedding_status")
-    p = L.papers(spark, folder).agg(F.count("*").alias("papers"), F.count_if(e == "completed").alias("completed"), F.count_if((e == "pending") | e.isNull()).alias("pending"), F.count_if(F.col("content_version") > F.col("last_embedded_version")).alias("outdated"))
-    c = L.chunks(spark, folder).agg(F.count("*").alias("chunks"), F.count_if("valid").alias("valid_chunks"))
-    return p.join(F.broadcast(c))  # two frames of one row
-
-
 @query(f"""with {_C} select p.id, count(c.id)::bigint as chunks, (count(c.id) filter (where is_valid))::bigint as valid_chunks, any_value(coalesce(p.content_version, 1) > coalesce(p.last_embedded_version, 0)) as needs_update
   from papers p left join c on c.paper_id = p.id group by p.id""")
 def a2_embedding_stats(spark, folder):
@@ -99,27 +85,14 @@ def a2_embedding_stats(spark, folder):
     return p.select("id", F.coalesce("chunks", zero).alias("chunks"), F.coalesce("valid_chunks", zero).alias("valid_chunks"), (F.coalesce("content_version", F.lit(1)) > F.coalesce("last_embedded_version", F.lit(0))).alias("needs_update"))
 
 
-@query("""select coalesce(embedding_status, 'none') as status, count(*)::bigint as papers, sum(file_size)::bigint as bytes, epoch_us(min(indexed_at)) as first_at, epoch_us(max(indexed_at)) as last_at from papers group by all""")
-def a8_run_totals(spark, folder):
-    return L.papers(spark, folder).groupBy(F.coalesce("embedding_status", F.lit("none")).alias("status")).agg(F.count("*").alias("papers"), F.sum("file_size").alias("bytes"), F.unix_micros(F.min("indexed_at")).alias("first_at"), F.unix_micros(F.max("indexed_at")).alias("last_at"))
-
-
 @query("select distinct regexp_replace(trim(regexp_replace(lower(trim(arxiv_id)), '^arxiv:', '')), 'v\\d+$', '') as key from papers where arxiv_id is not null union select distinct lower(trim(doi)) from papers where doi is not null")
 def a5_known_identifiers(spark, folder):
     p = L.papers(spark, folder)
     return p.where("arxiv_id is not null").select(X.normal_arxiv(F.col("arxiv_id")).alias("key")).union(p.where("doi is not null").select(F.lower(F.trim("doi")))).distinct()
 
 
-_E = "e as (select distinct on (id) id, cited_title as title, cited_year as year from citations)"
 
 
-@query(f"with {_E} select id, title from e where title is not null and lower(trim(title)) not in (select lower(trim(title)) from papers where title is not null)")
-def j9_external_new(spark, folder):
-    """Cited works whose title as written is not in the library."""
-    key = F.lower(F.trim("title"))
-    e = table(spark, folder, "citations", "id", "cited_title").dropDuplicates(["id"]).select("id", F.col("cited_title").alias("title")).where("title is not null")
-    return e.withColumn("k", key).join(L.papers(spark, folder).where("title is not null").select(key.alias("k")), "k", "left_anti").select("id", "title")
-
 
 @query("""select p.id, case when c.paper_id is null then 'new' when p.content_hash is null or p.content_hash <> p.file_hash and p.content_version > coalesce(p.last_embedded_version, 0) then 'changed'
   when c.n > 1 then 'model_upgrade' else 'no_change' end as change
@@ -177,33 +150,14 @@ def m3_cascade_delete(spark, folder):
     return M.delete_with_children(old, L.papers(spark, folder), chunks=L.chunks(spark, folder))["chunks"].select("id")
 
 
-@query("""with u as (select provider, unnest(paper_ids) as p, id from notes where provider is not null)
-select provider, count(distinct id)::bigint as turns, count(distinct p)::bigint as papers, max(id) as last_id from u group by all""")
-def a10_session_rollup(spark, folder):
-    u = L.notes(spark, folder).where("provider is not null").select("provider", "id", F.explode("paper_ids").alias("p"))
-    return u.groupBy("provider").agg(F.count_distinct("id").alias("turns"), F.count_distinct("p").alias("papers"), F.max("id").alias("last_id"))
-
-
-@query("select user_id, event_id, turn::int as turn from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as turn, row_number() over (partition by user_id order by ts desc, event_id desc) as back from events) where back <= 5")
-def w9_last_turns(spark, folder):
-    e = table(spark, folder, "events", "user_id", "event_id", "ts")
-    w = W.partitionBy("user_id")
-    return e.withColumns({"turn": F.row_number().over(w.orderBy("ts", "event_id")), "back": F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id")))}).where("back <= 5").select("user_id", "event_id", "turn")
-
-
-@query("select user_id, event_id, last_value(case when event_type <> 'view' then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as carried from events")
-def l10_carry_over(spark, folder):
-    e = table(spark, folder, "events", "user_id", "event_id", "ts", "event_type", "value")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    return e.select("user_id", "event_id", F.last(F.when(F.col("event_type") != "view", F.col("value")), ignorenulls=True).over(w).alias("carried"))
-
-
-@query()
+@query("""with recursive e as (select user_id as key, ts, event_id as id, row_number() over (partition by user_id order by ts, event_id) as n from events where user_id is not null and ts is not null),
+k as (select key, n, id, ts, ts as last, true as kept from e where n = 1
+  union all select e.key, e.n, e.id, e.ts, case when e.ts - k.last >= interval 6 hour then e.ts else k.last end, e.ts - k.last >= interval 6 hour from k join e on e.key = k.key and e.n = k.n + 1)
+select key, id, epoch_us(ts) as at from k where kept""")
 def st2_debounce(spark, folder):
-    """Events kept when those within six hours of the last kept one are dropped; the
-    tests hold it against a plain loop."""
-    e = table(spark, folder, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
-    return debounce(e, 6 * 3600.0)
+    """Events kept when those within six hours of the last kept one are dropped."""
+    e = table(spark, folder, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
+    return debounce(e, 6 * 3600.0).select("key", "id", F.unix_micros("ts").alias("at"))
 
 
 @query("""
@@ -250,3 +204,152 @@ def f26_themes(spark, folder):
     p = L.papers(spark, folder)
     themes = X.themes(p.select("id", block.alias("text")))
     return themes.join(p.select(F.col("id").alias("paper_id")), "paper_id", "left_semi").select("id", "theme", "description", "paper_id")
+
+
+@query(f"""with {_C} select (select count(*) from papers)::bigint as papers, (select count(*) from papers where embedding_status = 'completed')::bigint as completed,
+  (select count(*) from papers where embedding_status = 'pending' or embedding_status is null)::bigint as pending, (select count(*) from papers where embedding_status = 'failed')::bigint as failed,
+  (select count(*) from papers where content_version > last_embedded_version)::bigint as outdated,
+  count(*)::bigint as chunks, count(*) filter (where is_valid)::bigint as valid_chunks, count(*) filter (where not coalesce(is_valid, false))::bigint as invalid_chunks,
+  round(100.0 * (select count(*) from papers where embedding_status = 'completed') / nullif((select count(*) from papers), 0), 2)::double as coverage_pct from c""")
+def a1_coverage(spark, folder):
+    return M.coverage(L.papers(spark, folder), L.chunks(spark, folder))
+
+
+_SORT = {"indexed_at": "indexed_at desc nulls last", "year": "year desc nulls last", "title": "title asc nulls first"}
+
+
+@query(" union all ".join(f"(select '{k}' as sorted_by, id from papers order by {o}, id limit 50 offset 100)" for k, o in _SORT.items()))
+def t1_paginate(spark, folder):
+    """The third page of 50 papers in each of the three orders."""
+    pages = [M.page(L.papers(spark, folder), by, 50, 100).select(F.lit(by).alias("sorted_by"), "id") for by in _SORT]
+    return pages[0].union(pages[1]).union(pages[2])
+
+
+_STAGES = """f as (select id, file_path as path, file_hash, title, abstract, row_number() over (partition by file_hash order by file_path, id) as n from papers),
+m as (select id, path, case when n > 1 then 'duplicate' when regexp_replace(coalesce(abstract, ''), '^\\s+|\\s+$', '', 'g') = '' then 'failed' when length(regexp_replace(abstract, '^\\s+|\\s+$', '', 'g')) < 100 then 'stored' else 'embedded' end as outcome,
+  case when n > 1 then 'dedup' when regexp_replace(coalesce(abstract, ''), '^\\s+|\\s+$', '', 'g') = '' then 'extract' when length(regexp_replace(abstract, '^\\s+|\\s+$', '', 'g')) < 100 then 'insert' else 'embed' end as stage from f)"""
+
+
+def _processed(spark, folder):
+    """The papers' files as a folder is processed, their abstracts being what parsers read."""
+    p = L.papers(spark, folder).select("id", F.col("file_path").alias("path"), "file_hash", F.col("abstract").alias("text"))
+    return I.process(p)
+
+
+@query(f"with {_STAGES} select id, outcome, stage from m")
+def m22_process_files(spark, folder):
+    return _processed(spark, folder).select("id", "outcome", "stage")
+
+
+@query(f"with {_STAGES} select count(*)::bigint as files, count(*) filter (where outcome in ('stored', 'embedded'))::bigint as success, count(*) filter (where outcome = 'duplicate')::bigint as duplicate, count(*) filter (where outcome = 'failed')::bigint as failed, count(*) filter (where outcome = 'embedded')::bigint as embedded from m")
+def a8_run_totals(spark, folder):
+    return I.run_totals(_processed(spark, folder))
+
+
+@query(f"with {_STAGES} select path, stage, 'no text' as error from m where outcome = 'failed'")
+def m23_run_errors(spark, folder):
+    return _processed(spark, folder).where("outcome = 'failed'").select("path", "stage", "error")
+
+
+_MERGED = f"""{_C},
+a as (select paper_id, chunk_index, chunk_hash, text_content, row_number() over (partition by paper_id, chunk_hash order by chunk_index) as o from c where is_valid and chunk_hash is not null),
+b as (select paper_id, chunk_index, sha256(text_content) as chunk_hash, text_content, row_number() over (partition by paper_id, sha256(text_content) order by chunk_index) as o from c where text_content is not null),
+t as (select * from a where paper_id in (select paper_id from b)),
+g as (select coalesce(b.paper_id, t.paper_id) as paper_id, coalesce(b.chunk_index, t.chunk_index) as chunk_index, case when b.paper_id is null then 'orphaned' when t.paper_id is null then 'new' else 'reused' end as state,
+  case when b.paper_id is null then t.text_content when t.paper_id is null then substring(b.text_content, 1, 1000) else t.text_content end as text from b full outer join t on t.paper_id = b.paper_id and t.chunk_hash = b.chunk_hash and t.o = b.o),
+w as (select g.*, coalesce(p.content_version, 1) as v from g left join papers p on p.id = g.paper_id)"""
+
+
+def _merged(spark, folder):
+    c = L.chunks(spark, folder)
+    live = c.where("valid").select("paper_id", "chunk_index", "chunk_hash", "text", "vec")
+    fresh = c.where("text is not null").select("paper_id", "chunk_index", "text")
+    return I.merge_chunks_in_full(live, fresh, L.papers(spark, folder))
+
+
+@query(f"with {_MERGED} select paper_id, chunk_index, state, sha256(text) as digest, (state <> 'orphaned') as valid, (v + (state <> 'orphaned')::int)::int as version from w")
+def m6_merged_chunks(spark, folder):
+    m = _merged(spark, folder)
+    return m.select("paper_id", "chunk_index", "state", F.sha2("text", 256).alias("digest"), "valid", "version")
+
+
+@query(f"with {_MERGED} select count(*) filter (where state = 'reused')::bigint as reused, count(*) filter (where state = 'new')::bigint as new, count(*) filter (where state = 'orphaned')::bigint as orphaned, round(100.0 * count(*) filter (where state = 'reused') / nullif(count(*) filter (where state <> 'orphaned'), 0), 2)::double as reuse_pct from w")
+def a9_embed_totals(spark, folder):
+    return I.reuse_totals(_merged(spark, folder))
+
+
+@query("select id, (coalesce(content_version, 1) + (coalesce(content_version, 1) <= coalesce(last_embedded_version, 0))::int)::int as content_version, (content_version > coalesce(last_embedded_version, 0)) as outdated from papers")
+def m9_versions(spark, folder):
+    """Versions where every paper already embedded in its present one was cut anew."""
+    done = F.coalesce("last_embedded_version", F.lit(0))
+    p = L.papers(spark, folder).withColumn("outdated", F.col("content_version") > done)
+    return I.next_versions(p, p.where(F.coalesce("content_version", F.lit(1)) <= done).select("id")).select("id", "content_version", "outdated")
+
+
+@query("select id, coalesce(nullif(publication, ''), title) as title, coalesce(year, 0) as year from papers")
+def m2_update(spark, folder):
+    """Fields set by id; a field that is not given stays."""
+    p = L.papers(spark, folder)
+    new = p.select("id", F.nullif("publication", F.lit("")).alias("title"))
+    return M.update(p.select("id", "title", F.coalesce("year", F.lit(0)).alias("year")), new)
+
+
+@query("with c as (select distinct on (id) * from citations) select paper_id, count(*)::bigint as citations, count(cited_year)::bigint as dated, sum(1.0)::double as confidence from c where cited_title is not null group by all")
+def m21_insert_citations(spark, folder):
+    """Citations appended with confidence 1, counted for each paper."""
+    c = table(spark, folder, "citations").dropDuplicates(["id"]).where("cited_title is not null")
+    rows = I.citations(c.select("paper_id", F.col("cited_title").alias("title"), F.col("cited_authors").alias("authors"), F.col("cited_year").alias("year"), F.col("citation_context").alias("context")))
+    return rows.groupBy("paper_id").agg(F.count("*").alias("citations"), F.count("year").alias("dated"), F.sum("confidence").alias("confidence"))
+
+
+_X = """x as (select id, case when arxiv_id is null then null else 'arXiv:' || regexp_replace(arxiv_id, 'v\\d+$', '') || 'v9' end as arxiv_id, upper(doi) as doi, title from papers where embedding_status is distinct from 'completed' or arxiv_id is null),
+l as (select * from papers where embedding_status = 'completed')"""
+_NORMAL = "regexp_replace(trim(regexp_replace(lower(trim({0})), '^arxiv:', '')), 'v\\d+$', '')"
+
+
+@query(f"with {_X} select id from x where (x.arxiv_id is null or {_NORMAL.format('x.arxiv_id')} not in (select {_NORMAL.format('arxiv_id')} from l where arxiv_id is not null)) and (x.doi is null or lower(trim(x.doi)) not in (select lower(trim(doi)) from l where doi is not null))")
+def j9_external_new(spark, folder):
+    """Of records as they come from outside, with another version and upper-case DOIs,
+    those that the embedded library does not hold by either identifier."""
+    p = L.papers(spark, folder)
+    outside = p.where(~F.col("embedding_status").eqNullSafe("completed") | F.col("arxiv_id").isNull())
+    shown = F.concat(F.lit("arXiv:"), F.regexp_replace("arxiv_id", r"v\d+$", ""), F.lit("v9"))
+    return M.not_in_library(outside.select("id", shown.alias("arxiv_id"), F.upper("doi").alias("doi")), p.where("embedding_status = 'completed'")).select("id")
+
+
+@query("select id, case when length(title) > 50 then substring(title, 1, 50) || '...' else title end as title, case when length(authors) > 30 then substring(authors, 1, 30) || '...' else authors end as authors, right(file_path, 50) as path from papers")
+def pr17_display_cuts(spark, folder):
+    return L.papers(spark, folder).select("id", X.cut_with_dots(F.col("title"), 50).alias("title"), X.cut_with_dots(F.col("authors"), 30).alias("authors"), F.right("file_path", F.lit(50)).alias("path"))
+
+
+@query("select id, title from papers where file_hash = (select min(file_hash) from papers) or id = 1")
+def pr1_point_lookup(spark, folder):
+    p = L.papers(spark, folder)
+    return p.join(F.broadcast(p.agg(F.min("file_hash").alias("least"))), (F.col("file_hash") == F.col("least")) | (F.col("id") == 1)).select("id", "title")  # one row
+
+
+@query(f"with {_C} select id, chunk_index, coalesce(is_valid, false) as valid from c where paper_id = 1")
+def pr18_chunks_of_paper(spark, folder):
+    """All chunks of one paper, invalid ones too."""
+    return L.chunks(spark, folder, "paper_id = 1").select("id", "chunk_index", "valid").orderBy("chunk_index", "id")
+
+
+@query("select id, hit_count from (select distinct on (id) id, hit_count, created_at, expires_at from llm_cache) where hit_count > 0 and created_at >= timestamp '2022-06-01' and (expires_at is null or expires_at > created_at)")
+def pr10_rollbackable(spark, folder):
+    """Log rows since a day that can be undone and were not, as predicates over a log."""
+    log = L.cache(spark, folder).select("id", "hit_count", "created_at", (F.col("hit_count") > 0).alias("can"), (F.col("expires_at") <= F.col("created_at")).alias("undone"))
+    return M.undoable(log, F.expr("timestamp '2022-06-01'")).select("id", "hit_count")
+
+
+@query("select p.id, regexp_extract(file_path, '[^/]+$', 0) as old_name from papers p")
+def j16_previews_to_rows(spark, folder):
+    p = L.papers(spark, folder)
+    preview = p.select(F.col("file_path").alias("path"), F.regexp_extract("file_path", "[^/]+$", 0).alias("old_name"))
+    return p.select("id", "file_path").join(preview.distinct(), F.col("file_path") == F.col("path")).select("id", "old_name")
+
+
+@query("with f as (select file_hash, file_path from papers) select count(*)::bigint as files, count(distinct file_hash)::bigint as contents, (select count(*) from (select file_hash from f group by all having count(*) > 1))::bigint as groups from f")
+def s5_scan_and_duplicates(spark, folder):
+    f = L.papers(spark, folder).select("file_hash", F.col("file_path").alias("path"))
+    groups = M.duplicate_groups(f).agg(F.count("*").alias("groups"))
+    return f.agg(F.count("*").alias("files"), F.count_distinct("file_hash").alias("contents")).join(F.broadcast(groups))  # two frames of one row

@@ -11,6 +11,7 @@ from folioforge.operators import hybrid as H
 from folioforge.operators import lexical as X
 from folioforge.operators import sections as S
 from folioforge.operators import vectors as V
+from folioforge.operators.ingest import index_state
 from folioforge.plans import library as L
 from folioforge.plans.queries_text import keywords_sql, sentences_sql, tokens_sql
 
@@ -311,3 +312,22 @@ def j11_common_sections(spark, folder):
     """For each note the sections of its first paper that all its papers have."""
     lists = L.notes(spark, folder).select(F.col("id").alias("note"), F.col("paper_ids").alias("papers"))
     return S.common_sections(S.section_names(L.chunks(spark, folder, valid=True)), lists)
+
+
+@query(f"with {_C} select q.id as qid, c.id, case when len(c.vec) = 64 then round(power(array_distance(q.vec::double[64], (case when len(c.vec) = 64 then c.vec end)::double[64]), 2), 6) else 1e9 end as distance from c q join c on c.paper_id = q.paper_id where q.valid and q.id % 100 = 0 and len(q.vec) = 64")
+def v4_rerank(spark, folder):
+    """For every question the rows of its own paper by distance; those that could not be
+    encoded come last."""
+    c = L.chunks(spark, folder)
+    q = c.where("valid and id % 100 = 0").where(F.size("vec") == L.DIM).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "paper_id")
+    return V.rerank(c.select("id", "vec", "paper_id").join(q, "paper_id"), L.DIM).select("qid", "id", "distance")
+
+
+@query(f"with {_C} select case when vec is null then 'missing' when len(vec) <> 64 then 'size' else 'fits' end as state, count(*)::bigint as n from c group by all")
+def v2_validated_vectors(spark, folder):
+    return L.chunks(spark, folder).groupBy(V.fitness(F.col("vec"), L.DIM).alias("state")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {_C}, k as (select paper_id, chunk_index, count(*) as n, count(*) filter (where len(vec) <> 64) as m from c where vec is not null group by all) select sum(n)::bigint as size, sum(m)::bigint as misfits, count(*) filter (where n > 1)::bigint as repeated from k")
+def v6_index_state(spark, folder):
+    return index_state(L.chunks(spark, folder, "vec is not null"), L.DIM)

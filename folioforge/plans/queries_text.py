@@ -167,22 +167,6 @@ def f4_title(spark, folder):
     return L.paper_texts(spark, folder).select("id", X.title(F.col("text")).alias("title"))
 
 
-@query("""
-select id, nullif(trim(regexp_replace(abstract, '\\s+', ' ', 'g')), '') as abstract from papers
-where length(trim(regexp_replace(abstract, '\\s+', ' ', 'g'))) between 60 and 1900 and not regexp_matches(abstract, '(?i)keywords|introduction|\\n\\s*\\n|abstract|summary')""")
-def f5_abstract(spark, folder):
-    """The abstract found on a first page, for papers whose abstract has no words or
-    blank lines that would end it."""
-    p = L.papers(spark, folder).where(F.length(T.clean(F.col("abstract"))).between(60, 1900) & ~F.col("abstract").rlike(r"(?i)keywords|introduction|\n\s*\n|abstract|summary"))
-    return L.paper_texts(spark, folder).join(p.select("id"), "id", "left_semi").select("id", X.abstract(F.col("text")).alias("abstract"))
-
-
-@query()
-def f6_authors_after_title(spark, folder):
-    t = L.paper_texts(spark, folder).select("id", "text", X.title(F.col("text")).alias("title"))
-    return t.select("id", X.authors_after(F.col("text"), F.col("title")).alias("authors"))
-
-
 @query("select id, trim(regexp_replace(abstract, '\\s+', ' ', 'g')) as text from papers where abstract is not null")
 def f8_clean(spark, folder):
     return L.papers(spark, folder).where("abstract is not null").select("id", T.clean(F.col("abstract")).alias("text"))
@@ -196,15 +180,6 @@ def _safe(x: str) -> str:
 _LAST = "list_filter(regexp_split_to_array(trim(string_split({0}, ',')[1]), '\\s+'), lambda w: w <> '')[-1]"
 
 
-@query(f"""
-select id, coalesce(nullif(year::varchar, ''), 'unknown') || '_' || coalesce(nullif({_LAST.format('authors')}, ''), 'unknown') || '_' || {_safe('substring(title, 1, 50)')} || '.pdf' as new_name,
-  regexp_extract(file_path, '[^/]+$', 0) as old_name from papers""")
-def f12_rename_preview(spark, folder):
-    p = L.papers(spark, folder)
-    name = X.file_name("{year}_{first_author}_{short_title}", year=F.col("year"), authors=F.col("authors"), title=F.col("title"), doi=F.col("doi"), arxiv_id=F.col("arxiv_id"))
-    return p.select("id", name.alias("new_name"), F.regexp_extract("file_path", "[^/]+$", 0).alias("old_name"))
-
-
 @query("""
 with n as (select id, publication || '.pdf' as target, row_number() over (partition by publication order by id) - 1 as n from papers where publication is not null)
 select id, case when n = 0 then target else regexp_extract(target, '^(.*?)(\\.[^.]*)?$', 1) || '_' || n || '.pdf' end as target from n""")
@@ -226,22 +201,10 @@ def f17_search_query(spark, folder):
     return L.papers(spark, folder).select("id", X.search_query(F.col("title")).alias("q"))
 
 
-@query("select id, sha256(question) as prompt_key, sha256(array_to_string(list_sort(paper_ids), ',') || ':results') as comparison_key from notes")
-def f18_cache_keys(spark, folder):
-    n = L.notes(spark, folder)
-    return n.select("id", F.sha2("question", 256).alias("prompt_key"), X.comparison_key(F.col("paper_ids"), F.lit("results")).alias("comparison_key"))
-
-
 def _any(patterns, x="lower(question)") -> str:
     return f"regexp_matches({x}, '{'|'.join(patterns)}')".replace("what(?:'s|", "what(?:''s|")
 
 
-@query(f"select id, {_any(I.COMPARISON)} as comparison, {_any(I.SIMILAR)} as similar_papers, {_any(I.LIST_SECTIONS)} as sections, {_any(I.SUMMARIZE)} as summary from notes")
-def f19_intents(spark, folder):
-    q = F.col("question")
-    return L.notes(spark, folder).select("id", I.asks(q, I.COMPARISON).alias("comparison"), I.asks(q, I.SIMILAR).alias("similar_papers"), I.asks(q, I.LIST_SECTIONS).alias("sections"), I.asks(q, I.SUMMARIZE).alias("summary"))
-
-
 _IDS = " || ".join(f"regexp_extract_all(question, '{p}', 1)" for p in I.PAPER_IDS)
 
 
@@ -273,28 +236,11 @@ def f24_cited_ids(spark, folder):
     return L.cache(spark, folder).select("id", F.explode(ids).alias("p")).select("id", F.col("p").cast("bigint").alias("paper_id"))
 
 
-@query("""
-select id, trim(regexp_extract(t, '(?is)PROBLEM:\\s*(.*?)\\s*METHODOLOGY:', 1)) as problem, trim(regexp_extract(t, '(?is)METHODOLOGY:\\s*(.*?)\\s*FINDINGS:', 1)) as methodology
-from (select id, 'PROBLEM: ' || title || chr(10) || 'METHODOLOGY: ' || coalesce(publication, '') || ' FINDINGS: none' as t from papers)""")
-def f25_profile_fields(spark, folder):
-    t = F.concat(F.lit("PROBLEM: "), "title", F.lit("\nMETHODOLOGY: "), F.coalesce("publication", F.lit("")), F.lit(" FINDINGS: none"))
-    p = L.papers(spark, folder).select("id", t.alias("t"))
-    return p.select("id", X.profile_field(F.col("t"), "PROBLEM").alias("problem"), X.profile_field(F.col("t"), "METHODOLOGY").alias("methodology"))
-
-
 @query("select doc_id, sha256(string_split(text, chr(10) || chr(10))[1]) as digest from documents")
 def f27_first_paragraph(spark, folder):
     return L.documents(spark, folder).select("doc_id", F.sha2(X.first_paragraph(F.col("text")), 256).alias("digest"))
 
 
-@query("""
-select id, case when length(answer) > 100 then substring(answer, 1, 100) || '...' else answer end as preview, len(paper_ids)::int as papers,
-  (length(trim(question)) > 0 and length(trim(coalesce(answer, ''))) > 0 and length(question) <= 10000 and length(answer) <= 50000 and len(paper_ids) > 0) as sound from notes""")
-def f29_note_preview(spark, folder):
-    sound = (F.length(F.trim("question")) > 0) & (F.length(F.trim(F.coalesce("answer", F.lit("")))) > 0) & (F.length("question") <= 10_000) & (F.length("answer") <= 50_000) & (F.size("paper_ids") > 0)
-    return L.notes(spark, folder).select("id", X.cut_with_dots(F.col("answer"), 100).alias("preview"), F.size("paper_ids").alias("papers"), sound.alias("sound"))
-
-
 _MESSAGE = "'Rate limit reached: requests per ' || case when hit_count > 0 then 'day' else 'minute' end || ', try again in ' || coalesce(tokens_used, 5) || case when provider = 'groq' then 'ms' else '.5s' end"
 
 
@@ -305,3 +251,153 @@ select id, case when contains(m, 'per day') then 'rpd' else 'rpm' end as kind, g
 def f32_rate_limits(spark, folder):
     m = F.concat(F.lit("Rate limit reached: requests per "), F.when(F.col("hit_count") > 0, "day").otherwise("minute"), F.lit(", try again in "), F.coalesce("tokens_used", F.lit(5)).cast("string"), F.when(F.col("provider") == "groq", "ms").otherwise(".5s"))
     return L.cache(spark, folder).select("id", X.limit_kind(m).alias("kind"), X.retry_seconds(m).alias("seconds"))
+
+
+@query(f"""
+with t as (select id, {_TEXT} as text from papers)
+select id, coalesce({", ".join("nullif(trim(regexp_replace(regexp_extract(text, '(?is)" + w + "[:\\s]+(.{50,1000}?.{0,1000}?)(?:\\n\\n|keywords|introduction)', 1), '\\s+', ' ', 'g')), '')" for w in ("abstract", "summary"))}) as abstract from t""")
+def f5_abstract(spark, folder):
+    """The abstract found on the first page of every paper."""
+    return L.paper_texts(spark, folder).select("id", F.nullif(X.abstract(F.col("text")), F.lit("")).alias("abstract"))
+
+
+_FOUND = "coalesce(nullif(trim(regexp_replace(regexp_extract(text, '(?m)^([A-Z][^\\n]{10,200})\\n', 1), '\\s+', ' ', 'g')), ''), nullif(trim(regexp_replace(regexp_extract(text, '(?m)^([^\\n]{10,200}?)\\n\\n', 1), '\\s+', ' ', 'g')), ''))"
+
+
+@query(f"""
+with t as (select id, text, {_FOUND} as title from (select id, {_TEXT} as text from papers)),
+n as (select id, regexp_extract_all(substring(text, strpos(text, title) + length(title), greatest(0, 500 - length(title))), '([A-Z][a-z]+\\s+[A-Z][a-z]+)', 1) as n, strpos(text, title) > 0 as known from t)
+select id, case when known and len(n) > 0 then array_to_string(n[1:5], ', ') end as authors from n""")
+def f6_authors_after_title(spark, folder):
+    t = L.paper_texts(spark, folder).select("id", "text", X.title(F.col("text")).alias("title"))
+    return t.select("id", X.authors_after(F.col("text"), F.col("title")).alias("authors"))
+
+
+@query(f"""
+with t as (select id, publication, authors, year, doi, {_TEXT} as text from papers)
+select id, coalesce(nullif(trim(publication), ''), {_FOUND}) as title, coalesce(nullif(trim(authors), ''), 'none') as authors, coalesce(nullif(trim(doi), ''), nullif(regexp_extract(text, '10\\.\\d{{4,}}/\\S+', 0), '')) as doi from t""")
+def f7_merged_metadata(spark, folder):
+    """A file's own fields (here the publication as its title), the rest from its text."""
+    p = L.papers(spark, folder).select("id", "publication", "authors", "doi").join(L.paper_texts(spark, folder), "id")
+    x = F.col("text")
+    return p.select("id", X.merged(F.col("publication"), X.title(x)).alias("title"), X.merged(F.col("authors"), F.lit("none")).alias("authors"), X.merged(F.col("doi"), X.doi(x)).alias("doi"))
+
+
+_FIRST = f"coalesce(nullif({_LAST.format('authors')}, ''), 'unknown')"
+_LABEL = f"""case when coalesce(authors, '') = '' then 'unknown' else {_safe("array_to_string(list_transform(list_transform(string_split(authors, ','), lambda a: trim(a))[1:2], lambda a: coalesce(list_filter(regexp_split_to_array(trim(string_split(a, ',')[1]), '\\s+'), lambda w: w <> '')[-1], 'unknown')), '_') || case when len(string_split(authors, ',')) > 2 then '_et_al' else '' end")} end"""
+_NAMES = {
+    "{year}_{first_author}_{short_title}": f"coalesce(nullif(year::varchar, ''), 'unknown') || '_' || {_FIRST} || '_' || {_safe('substring(title, 1, 50)')}",
+    "{authors}-{title}": f"{_LABEL} || '-' || {_safe('title')}",
+    "{doi}_{arxiv_id}": f"{_safe('doi')} || '_' || coalesce(nullif(replace(arxiv_id, '.', '_'), ''), 'unknown')",
+}
+
+
+@query(" union all ".join(f"select id, '{k}' as pattern, {v} || '.pdf' as new_name, regexp_extract(file_path, '[^/]+$', 0) as old_name, ({v} || '.pdf') <> regexp_extract(file_path, '[^/]+$', 0) as changed from papers" for k, v in _NAMES.items()))
+def f12_rename_preview(spark, folder):
+    """What each paper's file would be called by three patterns, and whether it changes."""
+    p, old = L.papers(spark, folder), F.regexp_extract("file_path", "[^/]+$", 0)
+    name = lambda k: X.file_name(k, year=F.col("year"), authors=F.col("authors"), title=F.col("title"), doi=F.col("doi"), arxiv_id=F.col("arxiv_id"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("pattern"), name(k).alias("new_name")) for k in _NAMES]))
+    return p.select("id", old.alias("old_name"), each.alias("x")).select("id", "x.pattern", "x.new_name", "old_name", (F.col("x.new_name") != F.col("old_name")).alias("changed"))
+
+
+@query(f"select id, {_LABEL} as label, {_FIRST} as first from papers")
+def f11_author_labels(spark, folder):
+    a = F.col("authors")
+    return L.papers(spark, folder).select("id", X.author_label(a).alias("label"), F.coalesce(X.last_name(a), F.lit("unknown")).alias("first"))
+
+
+@query("select id, regexp_replace(trim(regexp_replace(lower(trim(regexp_extract('see https://arxiv.org/abs/' || arxiv_id || '?x=1', '(?i)arxiv\\.org/abs/([^?\\s#]+)', 1))), '^arxiv:', '')), 'v\\d+$', '') as external_id from papers where arxiv_id is not null")
+def f16_arxiv_from_url(spark, folder):
+    url = F.concat(F.lit("see https://arxiv.org/abs/"), "arxiv_id", F.lit("?x=1"))
+    return L.papers(spark, folder).where("arxiv_id is not null").select("id", X.arxiv_from_url(url).alias("external_id"))
+
+
+@query("select id, sha256(question) as prompt_key, sha256(question || chr(10) || '10') as search_key, sha256(array_to_string(list_sort(paper_ids), ',') || ':results') as comparison_key, sha256(array_to_string(list_sort(paper_ids), ',')) as whole_key from notes")
+def f18_cache_keys(spark, folder):
+    n, ids = L.notes(spark, folder), F.col("paper_ids")
+    return n.select("id", F.sha2("question", 256).alias("prompt_key"), X.search_key(F.col("question"), 10).alias("search_key"), X.comparison_key(ids, F.lit("results")).alias("comparison_key"), X.comparison_key(ids).alias("whole_key"))
+
+
+_REVIEW = X.REVIEW.replace("(?i)", "")
+_ASKED = "select id, question from notes union all select id, q || ' paper ' || id || ' and paper 1' from notes, (select unnest(['Compare the methods of', 'What similar papers are there to', 'List the sections of', 'Summarize the findings of', 'Write a review of the conclusions of', 'How does it differ,']) as q)"
+
+
+def _asked(spark, folder):
+    """The notes' questions, and made ones of every kind about each note's number."""
+    n = L.notes(spark, folder).select("id", "question")
+    kinds = ["Compare the methods of", "What similar papers are there to", "List the sections of", "Summarize the findings of", "Write a review of the conclusions of", "How does it differ,"]
+    made = n.select("id", F.explode(F.array(*map(F.lit, kinds))).alias("q")).select("id", F.concat("q", F.lit(" paper "), F.col("id").cast("string"), F.lit(" and paper 1")).alias("question"))
+    return n.unionByName(made)
+
+
+@query(f"with a as ({_ASKED}) select id, question, {_any(I.COMPARISON)} as comparison, {_any(I.SIMILAR)} as similar_papers, {_any(I.LIST_SECTIONS)} as sections, {_any(I.SUMMARIZE)} as summary, regexp_matches(lower(question), '{_REVIEW}') as review from a")
+def f19_intents(spark, folder):
+    q = F.col("question")
+    return _asked(spark, folder).select("id", "question", I.asks(q, I.COMPARISON).alias("comparison"), I.asks(q, I.SIMILAR).alias("similar_papers"), I.asks(q, I.LIST_SECTIONS).alias("sections"), I.asks(q, I.SUMMARIZE).alias("summary"), q.rlike(X.REVIEW).alias("review"))
+
+
+_NAMED = "case " + " ".join(f"when regexp_matches(lower(question), '{'|'.join(v)}') then '{k}'" for k, v in I.SECTION_FORMS.items()) + " end"
+
+
+@query(f"with a as ({_ASKED}) select id, question, {_SECTION} as asked, {_NAMED} as compared from a")
+def f21_section_names(spark, folder):
+    """The section that a question names, as questions and as comparisons read it."""
+    q = F.col("question")
+    return _asked(spark, folder).select("id", "question", I.section_named(q).alias("asked"), I.section_compared(q).alias("compared"))
+
+
+@query(f"""with a as ({_ASKED}), i as (select id, question, list_distinct(list_filter(list_transform({_IDS}, lambda x: try_cast(x as bigint)), lambda x: x is not null)) as ids, {_any(I.COMPARISON)} as c, {_NAMED} as s from a),
+k as (select u.id, u.question, count(*) as known from (select id, question, unnest(ids) as p from i) u join papers on papers.id = u.p group by all)
+select i.id, i.question, case when s is null then 'whole' else 'section' end as kind, len(ids)::int as named, coalesce(known, 0)::int as known from i left join k using (id, question) where c and len(ids) >= 2 and coalesce(known, 0) >= 2""")
+def f22_comparison_requests(spark, folder):
+    """Questions that ask for a comparison of two papers or more that the library has."""
+    known = L.papers(spark, folder).select(F.col("id").alias("paper_id"))
+    return I.comparison_requests(_asked(spark, folder), known)
+
+
+_PROFILE = " || ".join(f"'{f}: ' || {v} || chr(10)" for f, v in zip(X.PROFILE, ("title", "coalesce(publication, '')", "'found in ' || coalesce(year::varchar, 'no year')", "coalesce(authors, '')", "''", "coalesce(substring(abstract, 1, 300), '')"), strict=True))
+_ENDS = [*(f"\\s*{f}:" for f in X.PROFILE[1:]), "$"]
+
+
+@query(f"with t as (select id, {_PROFILE} as t from papers) select id, " + ", ".join(f"regexp_replace(regexp_extract(t, '(?is){f}:\\s*(.*?){e}', 1), '^\\s+|\\s+$', '', 'g') as {f.lower()}" for f, e in zip(X.PROFILE, _ENDS, strict=True)) + " from t")
+def f25_profile_fields(spark, folder):
+    """The six fields of a profile as a model writes it, made from each paper's columns."""
+    no = F.lit("")
+    values = ["title", F.coalesce("publication", no), F.concat(F.lit("found in "), F.coalesce(F.col("year").cast("string"), F.lit("no year"))), F.coalesce("authors", no), no, F.coalesce(F.substring("abstract", 1, 300), no)]
+    t = F.concat(*[x for f, v in zip(X.PROFILE, values, strict=True) for x in (F.lit(f"{f}: "), v, F.lit("\n"))])
+    p = L.papers(spark, folder).select("id", t.alias("t"))
+    return p.select("id", *[X.profile_field(F.col("t"), f).alias(f.lower()) for f in X.PROFILE])
+
+
+@query("select id, case when length(answer) > 100 then substring(answer, 1, 100) || '...' else answer end as preview, len(paper_ids)::int as papers from notes")
+def f29_note_preview(spark, folder):
+    return L.notes(spark, folder).select("id", X.cut_with_dots(F.col("answer"), 100).alias("preview"), F.size("paper_ids").alias("papers"))
+
+
+@query()
+def c6_hybrid_chunks(spark, folder):
+    """Chunks by structure; checked against a fixture in the tests."""
+    c = K.hybrid_chunks(L.documents(spark, folder).withColumnRenamed("doc_id", "id"))
+    return c.select("id", "chunk_index", "chunk_type", "section", "importance", F.sha2("text", 256).alias("digest"))
+
+
+@query(f"""
+with recursive m as (select id, chr(10) || ({_NOTE}) as t from notes where answer is not null),
+b as (select id, unnest(x) as x, generate_subscripts(x, 1) as part from (select id, string_split(regexp_replace(t, '\\n(#{{1,3}}[ \\t]+\\S)', chr(1) || '\\1', 'g'), chr(1)) as x from m)),
+p as (select id, part, nullif(trim(regexp_extract(x, '^#{{1,3}}[ \\t]+([^\\n]+)', 1)), '') as name, x from b),
+y as (select id, part, name, regexp_replace(case when name is null then x else regexp_replace(regexp_replace(x, '^#{{1,3}}[ \\t]+[^\\n]+\\n?', ''), '(?m)^\\s*[-*]{{3,}}\\s*$', '', 'g') end, '^\\s+|\\s+$', '', 'g') as body from p),
+s as (select id, part, name, unnest(q) as s, generate_subscripts(q, 1) as i from (select id, part, name, {sentences_sql('body')} as q from y where body <> '')),
+r as (select id, part, i, s, 0 as chunk, length(s) // 4 as n, i as first from s where i = 1
+  union all
+  select s.id, s.part, s.i, s.s, case when r.n + length(s.s) // 4 > 400 then r.chunk + 1 else r.chunk end,
+    case when r.n + length(s.s) // 4 > 400 then length(r.s) // 4 + length(s.s) // 4 else r.n + length(s.s) // 4 end,
+    case when r.n + length(s.s) // 4 > 400 then r.i else r.first end
+  from r join s on s.id = r.id and s.part = r.part and s.i = r.i + 1),
+e as (select id, part, chunk, min(first) as a, max(i) as z from r group by all),
+t as (select e.id, e.part, e.chunk, any_value(s.name) as section, string_agg(s.s, ' ' order by s.i) as x from e join s on s.id = e.id and s.part = e.part and s.i between e.a and e.z group by all)
+select id, (row_number() over (partition by id order by part, chunk) - 1)::int as chunk_index, section, case when section is null then 'paragraph' else (select case {_CASES} else 'section' end from (select lower(section) as n)) end as chunk_type, sha256(x) as digest from t""")
+def c8_markdown_chunks(spark, folder):
+    n = L.notes(spark, folder).where("answer is not null")
+    text = F.concat(F.coalesce("formatted_note", F.lit("")), F.lit("\n"), "answer", F.lit("\n### Sources\n"), F.array_join(F.coalesce("sources", F.array().cast("array<string>")), " "))
+    return K.markdown_chunks(n.select("id", text.alias("text"))).select("id", "chunk_index", "section", "chunk_type", F.sha2("text", 256).alias("digest"))

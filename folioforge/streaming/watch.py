@@ -19,15 +19,36 @@ def watch_folder(spark: SparkSession, folder: str, pattern: str = "*.{pdf,PDF}")
     return files.where("length > 0").select("path", F.sha2("content", 256).alias("file_hash"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def ingest(stream: DataFrame, known: Callable[[], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """Appends files whose content is neither known nor in the batch before; runs over
-    what is there and stops."""
+def ingest(stream: DataFrame, known: Callable[[], DataFrame], target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Writes files whose content is neither known nor in the batch before. Without
+    ``every`` it runs over what is there and stops, else it goes on at that interval;
+    started again on the same checkpoint it goes on where it stopped.
 
-    def batch(files: DataFrame, _: int) -> None:
+    A batch is written to a folder of its own number, so that a batch that is run again
+    takes the place of its first try.
+    """
+
+    def batch(files: DataFrame, number: int) -> None:
         first = files.groupBy("file_hash").agg(F.min_by(F.struct("path", "size", "modified"), "path").alias("f")).select("file_hash", "f.*")
-        first.join(known().select("file_hash"), "file_hash", "left_anti").write.mode("append").parquet(target)
+        first.join(known().select("file_hash"), "file_hash", "left_anti").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def sync_then_watch(stream: DataFrame, known: Callable[[], DataFrame], target: str, checkpoint: str, every: str = "60 seconds") -> StreamingQuery:
+    """First all files that are there, then those that come, until it is stopped."""
+    ingest(stream, known, target, checkpoint).awaitTermination()
+    return ingest(stream, known, target, checkpoint, every)
+
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stop(query: StreamingQuery, seconds: int = 60) -> bool:
+    """Lets the batch in hand end, then stops; whether the query has stopped."""
+    if query.isActive:
+        query.processAllAvailable()
+        query.stop()
+        query.awaitTermination(seconds)
+    return not query.isActive
 
 
 def _keep(last: float | None, times: list[float], wait: float) -> tuple[list[bool], float | None]:
@@ -48,14 +69,16 @@ def debounce(events: DataFrame, seconds: float) -> DataFrame:
     """
     if not events.isStreaming:
         def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            key, last = None, None
+            key, last = object(), None
             for f in frames:
-                keep = []
-                for k, t in zip(f.key, f.ts.astype("int64") / 1e9 if f.ts.dtype == "datetime64[ns]" else f.ts.map(pd.Timestamp.timestamp), strict=True):
-                    if k != key:
-                        key, last = k, None
-                    (ok,), last = _keep(last, [t], seconds)
-                    keep.append(ok)
+                at, keys = (pd.to_datetime(f.ts, utc=True) - pd.Timestamp(0, tz="UTC")).dt.total_seconds().to_numpy(), f.key.to_numpy()
+                starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+                keep: list[bool] = []
+                for a, b in zip(starts, starts[1:], strict=False):
+                    if keys[a] != key:
+                        key, last = keys[a], None
+                    kept, last = _keep(last, at[a:b].tolist(), seconds)
+                    keep += kept
                 yield f[keep]
 
         ordered = events.select("key", "ts", "id").where("key is not null and ts is not null").repartition("key").sortWithinPartitions("key", "ts", "id")
