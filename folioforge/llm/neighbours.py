@@ -153,9 +153,10 @@ def _bounds(at: np.ndarray, asked: np.ndarray, grp: np.ndarray, window: int) ->
     return a, b
 
 
-def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _descend(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[pa.RecordBatch]:
     """One range partition of one or more trees, each in order: for its asking rows the
-    number of shown rows of other groups that share each of LEVELS of their prefix."""
+    number of shown rows of other groups that share each of LEVELS of their prefix; more
+    than ``enough`` are as good as ``enough``, and such numbers pack better."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
@@ -180,7 +181,7 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = prefix[order]
             own = np.empty(hi - lo)
             own[order] = per_run(other | np.r_[True, mine[1:] != mine[:-1]], seen[order])
-            columns.append((every - own).astype(np.int32))
+            columns.append(np.minimum(every - own, enough).astype(np.int32))
         who = asks[lo:hi]
         yield pa.record_batch(
             [pa.array(cids[lo:hi][who]), pa.array(grp[who]), *(pa.array(c[who]) for c in columns)],
@@ -364,7 +365,7 @@ def most_similar(rows: DataFrame, k: int = 5, *, dim: int = 64, min_similarity:
     in_order = lambda d: d.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     # the descent in every tree, then the level at which the trees together hold enough
     levels = ", ".join(f"n{x} int" for x in LEVELS)
-    counts = in_order(entries.select(tree, *state)).mapInArrow(_descend, f"cid bigint, grp bigint, {levels}")
+    counts = in_order(entries.select(tree, *state)).mapInArrow(lambda it: _descend(it, forest.enough), f"cid bigint, grp bigint, {levels}")
     held = counts.groupBy("cid", "grp").agg(*[F.sum(f"n{x}").alias(f"n{x}") for x in LEVELS])
     stop = F.coalesce(*[F.when(F.col(f"n{x}") >= forest.enough, x) for x in LEVELS], F.lit(0))
     entries = entries.join(held.select("cid", "grp", stop.cast("tinyint").alias("depth")), ["cid", "grp"], "left").fillna(0, ["depth"])
@@ -377,7 +378,8 @@ def most_similar(rows: DataFrame, k: int = 5, *, dim: int = 64, min_similarity:
     near = near.repartition("cid").groupBy("cid", "view", "near").agg(F.max("low").alias("low"), F.max("high").alias("high"))
     whole = W.partitionBy("cid", "view").orderBy(F.desc("low")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     near = near.withColumn("kth", F.nth_value("low", k).over(whole)).where(F.col("kth").isNull() | (F.col("high") >= F.col("kth")))
-    near = cut(near.select("cid", "near").distinct())
+    # a pair that either side proposes is checked once, and counts for both
+    near = cut(near.select(F.least("cid", "near").alias("cid"), F.greatest("cid", "near").alias("near")).distinct())
 
     # the exact check, on the vectors of rows that have candidates only
     wanted = near.select("cid").union(near.select(F.col("near").alias("cid"))).distinct()
@@ -393,6 +395,8 @@ def most_similar(rows: DataFrame, k: int = 5, *, dim: int = 64, min_similarity:
         .withColumn("m", F.row_number().over(W.partitionBy("cid").orderBy("id"))).where("m <= 10").select("cid", "id", "grp")
     )
     single = classes.where("cid = last").select("cid", F.col("cid").alias("id"), F.col("g0").alias("grp"))
+    ways = F.array(F.struct("cid", "near"), F.struct(F.col("near").alias("cid"), F.col("cid").alias("near")))
+    scored = scored.select(F.explode(ways).alias("x"), "similarity").select("x.cid", "x.near", "similarity")
     scored = scored.unionByName(several.select("cid", F.col("cid").alias("near"), F.lit(1.0).alias("similarity")))
     askers = single.union(copies).where(ask).select("cid", "id", "grp")
     members = single.union(heads).select(F.col("cid").alias("near"), F.col("id").alias("near_id"), F.col("grp").alias("near_grp"))
