@@ -10,6 +10,7 @@ from folioforge.functions.text import keywords, token_estimate
 from folioforge.operators.context import PINNED_SCORE, pinned
 from folioforge.operators.lexical import relevant_sentences, words_in
 from folioforge.operators.vectors import knn
+from folioforge.plans.lineage import cut
 
 RRF, CAP, OVERHEAD = 60, 3, 15  # fixed values
 #: Parts in which the chunks of one word are ranked before they meet.
@@ -76,13 +77,14 @@ def retrieve(questions: DataFrame, chunks: DataFrame, top: int = 8, budget: int
     kept = capped(fuse(dense, keyword_ranks(questions, valid, 3 * top)), valid, top)
     kept = kept.select("qid", "place", "id", "paper_id", "section", "text", F.round(F.col("rrf") * weight, 9).alias("score"))
     if pins is not None:
+        kept = cut(kept)  # read twice: by what is missing and by what is given
         more = pinned(kept.select("qid", "paper_id"), pins, valid)
         kept = kept.unionByName(more.select("qid", (top + F.row_number().over(W.partitionBy("qid").orderBy("paper_id"))).alias("place"), "id", "paper_id", "section", "text", F.lit(PINNED_SCORE).alias("score")))
     asked = questions.select("qid", F.array_distinct(keywords(F.col("question"))).alias("words"))
-    cut = kept.join(asked, "qid").withColumn("excerpt", F.regexp_replace(relevant_sentences(F.col("text"), F.col("words")), r"^\s+|\s+$", ""))
-    cut = cut.where("excerpt <> ''").withColumn("cost", token_estimate(F.col("excerpt")) + OVERHEAD)
+    read = kept.join(asked, "qid").withColumn("excerpt", F.regexp_replace(relevant_sentences(F.col("text"), F.col("words")), r"^\s+|\s+$", ""))
+    read = read.where("excerpt <> ''").withColumn("cost", token_estimate(F.col("excerpt")) + OVERHEAD)
     one = F.struct((-F.col("score")).alias("o"), "place", "cost", "id", "paper_id", "section", "score", "excerpt")
-    packed = cut.groupBy("qid").agg(F.array_sort(F.collect_list(one)).alias("items"))
+    packed = read.groupBy("qid").agg(F.array_sort(F.collect_list(one)).alias("items"))
     return packed.select("qid", F.explode(greedy(F.col("items"), "cost", F.lit(budget))).alias("x")).select(
         "qid", "x.place", "x.id", "x.paper_id", "x.section", "x.score", "x.excerpt"
     )
