@@ -206,3 +206,15 @@ def j12_themes_or_all(spark, folder):
     raw = F.concat("question", F.lit("\n---\n"), F.when(F.col("id") % 2 == 0, block).otherwise(""))
     known = n.select("id", F.explode("paper_ids").alias("paper_id")).distinct()
     return X.themes_or_all(n.select("id", raw.alias("text")), known).select("id", "theme", "paper_id")
+
+
+@query("""with k as (select id, paper_ids[1] as paper_id, created_at from notes where len(paper_ids) > 0)
+select paper_id, id from (select *, row_number() over (partition by paper_id order by created_at desc, id desc) as r from k) where r = 1""")
+def m13_profile_upsert(spark, folder):
+    """What is kept of each note's first paper when notes since a day are put over older ones."""
+    from folioforge.operators.maintain import latest
+
+    n = L.notes(spark, folder).where(F.size("paper_ids") > 0).select("id", F.element_at("paper_ids", 1).alias("paper_id"), "created_at")
+    since = F.col("created_at") >= F.expr(_OLD)
+    old, new = (latest(d, ["paper_id"], ["created_at", "id"]) for d in (n.where(~since), n.where(since)))
+    return S.put(old, new, "paper_id").select("paper_id", "id")
