@@ -84,7 +84,7 @@ def classes_of(records: DataFrame) -> DataFrame:
     f = features(records.where("id is not null").dropDuplicates(["id"])).where("size(feats) > 0")
     f = f.withColumns({"h1": F.xxhash64("feats"), "h2": F.xxhash64(F.lit(3), "feats")})
     reps = f.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    return f.join(reps, ["h1", "h2"]).select("id", "rep", "feats")
+    return f.join(reps.hint("merge"), ["h1", "h2"]).select("id", "rep", "feats")
 
 
 def representative_pairs(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -94,7 +94,7 @@ def representative_pairs(classes: DataFrame, threshold: float, recall: float) ->
     keyed = cut(reps.mapInArrow(lambda it: _bands(it, bands, rows), "id bigint, bands array<bigint>"))
     candidates = pairs_by_key(keyed.select("id", F.explode("bands").alias("band")), "band", "id")
     sides = [reps.select(F.col("id").alias(s), F.col("feats").alias(f"f{s}")) for s in "ab"]
-    met = candidates.join(sides[0], "a").join(sides[1], "b")
+    met = candidates.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b")
     common = F.size(F.array_intersect("fa", "fb"))
     met = met.select("a", "b", (common / (F.size("fa") + F.size("fb") - common)).alias("similarity"))
     return met.where(F.col("similarity") >= threshold)
@@ -105,11 +105,11 @@ def similar_pairs(records: DataFrame, threshold: float = 0.5, recall: float = 0.
     classes = cut(classes_of(records.select("id", "text")))
     pairs = representative_pairs(classes, threshold, recall)
     several = classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
-    member = classes.select("id", "rep").join(several, "rep")
+    member = classes.select("id", "rep").join(several.hint("merge"), "rep")
     inside = pairs_by_key(member, "rep", "id").select("a", "b", F.lit(1.0).alias("similarity"))
     across = pairs
     for s in "ab":
-        across = across.join(member.select(F.col("rep").alias(s), F.col("id").alias(f"m{s}")), s, "left")
+        across = across.join(member.select(F.col("rep").alias(s), F.col("id").alias(f"m{s}")).hint("merge"), s, "left")
     across = across.select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"), "similarity")
     return across.union(inside).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity")
 

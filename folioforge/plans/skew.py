@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 
@@ -13,14 +13,15 @@ def pairs_by_key(rows: DataFrame, key: str, ident: str, block: int = 2000) -> Da
     row goes to one block, the right copy to all ``g``, so that no task sees more
     than ``block`` left rows of one bucket and no pair is lost. Buckets of one row
     are dropped before the join, since they hold no pair. Null keys and null
-    idents join nothing.
+    idents join nothing. The join is sort-merge by hint: rows compress so well that
+    they would be broadcast. Sizes come from the same shuffle as the rows.
     """
     rows = rows.select(F.col(key).alias("_k"), F.col(ident).alias("_i")).where("_k is not null and _i is not null")
-    sizes = rows.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1")
-    sized = rows.join(sizes, "_k").withColumn("_g", F.ceil(F.col("_n") / block).cast("int"))
+    sized = rows.withColumn("_n", F.count("*").over(W.partitionBy("_k"))).where("_n > 1")
+    sized = sized.withColumn("_g", F.ceil(F.col("_n") / block).cast("int"))
     left = sized.select("_k", F.col("_i").alias("a"), F.pmod(F.xxhash64("_i"), F.col("_g")).cast("int").alias("_s"))
     right = sized.select("_k", F.col("_i").alias("b"), F.explode(F.expr("sequence(0, _g - 1)")).alias("_s"))
-    return left.join(right, ["_k", "_s"]).where("a < b").select("a", "b").distinct()
+    return left.join(right.hint("merge"), ["_k", "_s"]).where("a < b").select("a", "b").distinct()
 
 
 def meet_by_key(left: DataFrame, right: DataFrame, key: str, block: int = 2000) -> DataFrame:

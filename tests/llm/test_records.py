@@ -7,6 +7,7 @@ import numpy as np
 from folioforge.llm import entities, mixing, name_variants, neardup, packing, scans
 from folioforge.llm.boosting import Boosted
 from folioforge.llm.names_text import author_names
+from folioforge.plans.skew import pairs_by_key
 
 
 def test_author_lists():
@@ -202,6 +203,19 @@ def documents(spark, n=300):
     return spark.createDataFrame([(*r, 1, "x") for r in rows] + [(None, "x", "s0", 1, "x")], "id bigint, text string, source string, tokens int, container string")
 
 
+def test_pairs_are_never_broadcast(spark):
+    """Broadcasts of band rows and feature sets grow with the table and end in the driver's memory."""
+    texts = [(i, " ".join(f"w{(i // 3 * 7 + j) % 101}" for j in range(20 + i % 3))) for i in range(90)]
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    pairs = neardup.similar_pairs(df)
+    assert {(0, 1), (0, 2), (1, 2)} <= {(r.id_a, r.id_b) for r in pairs.collect()}
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([("hot", i) for i in range(70)] + [("warm", i) for i in range(100, 120)], "k string, i bigint")
+    got = pairs_by_key(rows.union(rows), "k", "i", block=7)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(a, b) for x in (range(70), range(100, 120)) for a in x for b in x if a < b]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_packing(spark):
     df = documents(spark)
     got = packing.pack(df, 512, window=64, rows_per_task=100).collect()
