@@ -5,7 +5,9 @@ title vectors are found exactly by multi-index hashing: a vector is cut into six
 chunks, and two vectors at most 11 bits apart have a chunk in which they differ by one
 bit or none. A chunk's bits are folded by exclusive or to a key, which keeps a
 difference of one bit at one bit or less, so that the keys of one side, and of the
-other with every bit flipped once, meet in a plain equi-join. Cut-off titles are looked
+other with every bit flipped once, meet in a plain equi-join. A sketch of each vector
+goes with its keys, and pairs whose sketches alone are further apart than the radius are
+left out where they meet: no close pair can be lost by it. Cut-off titles are looked
 up by vectors of beginnings of fixed lengths, titles without their second part by
 vectors of the first (both up to 5 bits, for which equal keys suffice). Pairs so found
 are compared by Dice scores of titles and authors and by years; a latent-class model
@@ -190,6 +192,13 @@ def _ones(a: str) -> str:
     return " + ".join(f"bit_count({a}[{i}])" for i in range(BITS // 64))
 
 
+#: A vector's number of ones, above its 32-bit pieces folded by exclusive or.
+_XOR = " ^ ".join(f"v[{i}]" for i in range(BITS // 64))
+SKETCH = f"shiftleft(cast({_ones('v')} as bigint), 32) | (({_XOR}) ^ shiftrightunsigned({_XOR}, 32)) & 4294967295L"
+#: No more than the distance of the vectors: neither changes by more than one for a bit that differs.
+SKETCH_DISTANCE = "greatest(abs(shiftright(cs, 32) - shiftright(ps, 32)), bit_count((cs ^ ps) & 4294967295L))"
+
+
 def close_titles(cited: DataFrame, papers: DataFrame) -> DataFrame:
     """(ccls, pcls, title): pairs of title classes within the radius and their best Dice,
     for encoded titles (cls, variants) of either side."""
@@ -201,9 +210,11 @@ def close_titles(cited: DataFrame, papers: DataFrame) -> DataFrame:
         sides[s] = owners, flat.groupBy("vid").agg(F.first("kind").alias("kind"), F.first("v").alias("v"), F.first("keys").alias("keys"))
     (co, cv), (po, pv) = sides["c"], sides["p"]
     flips = f"concat(keys, flatten(transform(keys, k -> transform(sequence(0, {KEY - 1}), b -> k ^ shiftleft(1L, b)))))"
-    filed = pv.select(F.col("vid").alias("pvid"), F.explode(F.when(F.col("kind") == WHOLE, F.expr(flips)).otherwise(F.col("keys"))).alias("key"))
-    asked = cv.select(F.col("vid").alias("cvid"), F.explode("keys").alias("key"))
-    met = asked.join(filed.hint("merge"), "key").select("cvid", "pvid").distinct()
+    sketch = lambda s: F.expr(SKETCH).alias(f"{s}s")
+    filed = pv.select(F.col("vid").alias("pvid"), sketch("p"), F.explode(F.when(F.col("kind") == WHOLE, F.expr(flips)).otherwise(F.col("keys"))).alias("key"))
+    asked = cv.select(F.col("vid").alias("cvid"), sketch("c"), F.explode("keys").alias("key"))
+    met = asked.join(filed.hint("merge"), "key").where(f"{SKETCH_DISTANCE} <= if(shiftright(key, 52) = {WHOLE}, {RADIUS}, {RADIUS_EXACT})")
+    met = met.select("cvid", "pvid").distinct()
     met = met.join(cv.select(F.col("vid").alias("cvid"), "kind", F.col("v").alias("cv")).hint("merge"), "cvid")
     met = met.join(pv.select(F.col("vid").alias("pvid"), F.col("v").alias("pv")).hint("merge"), "pvid")
     met = met.withColumn("d", F.expr(_distance("cv", "pv"))).where(F.col("d") <= F.when(F.col("kind") == WHOLE, RADIUS).otherwise(RADIUS_EXACT))

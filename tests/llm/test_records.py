@@ -1,8 +1,10 @@
 """Problems 3, 4, 5, 6, 8, 9: brute force, held-out cases and edge cases."""
 
 import random
+import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from folioforge.llm import entities, mixing, name_variants, neardup, packing, scans
 from folioforge.llm.boosting import Boosted
@@ -72,6 +74,23 @@ def test_multi_index_finds_all_close_vectors():
         assert set(entities._keys(0, v)) & flips
 
 
+def test_sketches_lose_no_close_vector_and_thin_candidates(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        v = rng.getrandbits(entities.BITS)
+        w = v
+        for b in rng.sample(range(entities.BITS), rng.randrange(0, entities.RADIUS + 1)):
+            w ^= 1 << b
+        rows.append((entities._longs(v), entities._longs(w), entities._longs(rng.getrandbits(entities.BITS)), (v ^ w).bit_count()))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, far array<bigint>, d int")
+    sketch = lambda c, s: F.expr(re.sub(r"\bv\b", c, entities.SKETCH)).alias(s)
+    near = df.select("d", sketch("a", "cs"), sketch("b", "ps")).select("d", F.expr(entities.SKETCH_DISTANCE).alias("least"))
+    assert all(r.least <= r.d for r in near.collect())
+    far = df.select(sketch("a", "cs"), sketch("far", "ps")).where(f"{entities.SKETCH_DISTANCE} <= {entities.RADIUS}")
+    assert far.count() < 30
+
+
 def test_surplus_words_make_another_work():
     title = "A Lobrek approach to recursive distillation under discrete resolution"
     for more in (": a replication", " - ten years later", ", corrigendum & new data", ": a reply", ", part ii", " revisited"):
