@@ -1,10 +1,10 @@
 """Problem 3: linking the spellings of names that people typed.
 
-Method: the distinct words of all spellings are sets of padded three-letter grams. A
-prefix-filtered set-similarity join finds similar words: a pair whose common grams
-reach the bound shares one of the few rarest grams of either, in the order of the
-grams' frequency, so that only words meeting in such a gram are compared. A word that
-is much rarer than a similar one is read as a misspelling of it. Spellings that agree
+Method: the distinct words of all spellings meet in what is left of them without one
+letter: words one edit apart share such a rest, whatever the edit, and few others do, so
+that the number of words compared follows the number of words. Whether two that meet are
+one edit apart is asked where they meet, before any pair is shuffled. A word
+that is much rarer than a similar one is read as a misspelling of it. Spellings that agree
 in a rare word (the family name, a group's place) are then verified by soft weighted
 word similarity, in which each word weighs by its rarity and initials, short forms and
 nicknames count as given names they can stand for; a spelling that only has initials
@@ -150,11 +150,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("spelling"), batch.column("n"), *cols], names=["spelling", "n", "kind", "form", "words", "initials", "short"])
 
 
-def grams(word: str) -> list[str]:
-    x = f"##{word}#"
-    return sorted({x[i : i + 3] for i in range(len(x) - 2)})
-
-
 def within_one_edit(a: str, b: str) -> bool:
     """One letter more, less or other, or two neighbours swapped."""
     if a == b or abs(len(a) - len(b)) > 1:
@@ -168,32 +163,22 @@ def within_one_edit(a: str, b: str) -> bool:
     return long[i + 1 :] == few[i:]
 
 
-def _edit_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            ok = [within_one_edit(x, y) for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_()))
-
-
-#: A swap changes this many of a word's grams, another edit fewer.
-CHANGED = 4
+#: A word and what is left of it without one of its letters. Words one edit apart share
+#: one of these: the longer loses the letter it has more, either loses the letter that
+#: differs, or one of the two that are swapped.
+LEFT_OF = "array_distinct(concat(array(word), transform(sequence(1, length(word)), i -> concat(substr(word, 1, i - 1), substr(word, i + 1)))))"
+#: ``within_one_edit`` of a and b.
+ONE_EDIT = "levenshtein(a, b) <= 1 or length(a) = length(b) and exists(sequence(1, length(a) - 1), i -> concat(substr(a, 1, i - 1), substr(a, i + 1, 1), substr(a, i, 1), substr(a, i + 2)) = b)"
 
 
 def similar_words(words: DataFrame) -> DataFrame:
-    """(a, b), both ways, of words (word, n) that share all but CHANGED grams and are
-    one edit apart."""
-    sets = cut(words.where("length(word) >= 4").select("word", "n", _gram_sets("word").alias("g")))
-    flat = sets.select("word", F.explode("g").alias("gram"))
-    order = flat.groupBy("gram").agg(F.count("*").alias("f"))
-    ranked = flat.join(order, "gram").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("r"))
-    # the prefix: one gram more than may differ, the rarest first
-    prefix = ranked.select("word", F.expr(f"transform(slice(r, 1, {CHANGED + 1}), x -> x.gram)").alias("p"))
-    pairs = pairs_by_key(prefix.select("word", F.explode("p").alias("gram")), "gram", "word")
-    pairs = pairs.where(F.abs(F.length("a") - F.length("b")) <= 1)
-    pairs = pairs.join(sets.select(F.col("word").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na")), "a")
-    pairs = pairs.join(sets.select(F.col("word").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb")), "b")
-    enough = F.size(F.array_intersect("ga", "gb")) >= F.greatest(F.size("ga"), F.size("gb")) - CHANGED
-    near = pairs.where(enough).select("a", "b", "na", "nb").mapInArrow(_edit_filter, "a string, b string, na bigint, nb bigint")
+    """(a, b, na, nb), both ways, of words (word, n) that are one edit apart."""
+    words = words.where("length(word) >= 4").select("word", "n")
+    left = words.select("word", F.explode(F.expr(LEFT_OF)).alias("left")).select("word", F.xxhash64("left").alias("left"))
+    near = cut(pairs_by_key(left, "left", "word", keep=ONE_EDIT))
+    for s in "ab":
+        near = near.join(words.select(F.col("word").alias(s), F.col("n").alias(f"n{s}")), s)
+    near = near.select("a", "b", "na", "nb")
     return near.union(near.select("b", "a", "nb", "na"))
 
 
@@ -203,11 +188,6 @@ def _given(words: pd.Series) -> pd.Series:
     return words.map(lambda w: NICKNAMES.get(w, w), na_action="ignore")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _gram_sets(words: pd.Series) -> pd.Series:
-    return words.map(grams)
-
-
 def entities(mentions: DataFrame, much: float = 4.0, share: float = 0.75) -> DataFrame:
     """(spelling, entity) of mentions (field string), a row for each list of names.
     much: how much more frequent a word is than its misspelling; share: the part of

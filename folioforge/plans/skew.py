@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 
-def pairs_by_key(rows: DataFrame, key: str, ident: str, block: int = 2000) -> DataFrame:
-    """All distinct pairs ``(a, b)``, a < b, of ``ident`` that share a ``key``.
+def pairs_by_key(rows: DataFrame, key: str, ident: str, block: int = 2000, keep: str = "true") -> DataFrame:
+    """All distinct pairs ``(a, b)``, a < b, of ``ident`` that share a ``key`` and meet
+    the SQL predicate ``keep`` over (a, b), which is asked before pairs are shuffled.
 
     Every bucket is split into ``g = ceil(size / block)`` blocks: the left copy of a
     row goes to one block, the right copy to all ``g``, so that no task sees more
@@ -21,7 +22,7 @@ def pairs_by_key(rows: DataFrame, key: str, ident: str, block: int = 2000) -> Da
     sized = sized.withColumn("_g", F.ceil(F.col("_n") / block).cast("int"))
     left = sized.select("_k", F.col("_i").alias("a"), F.pmod(F.xxhash64("_i"), F.col("_g")).cast("int").alias("_s"))
     right = sized.select("_k", F.col("_i").alias("b"), F.explode(F.expr("sequence(0, _g - 1)")).alias("_s"))
-    return left.join(right.hint("merge"), ["_k", "_s"]).where("a < b").select("a", "b").distinct()
+    return left.join(right.hint("merge"), ["_k", "_s"]).where("a < b").where(keep).select("a", "b").distinct()
 
 
 def meet_by_key(left: DataFrame, right: DataFrame, key: str, block: int = 2000) -> DataFrame:

@@ -63,6 +63,36 @@ def test_one_edit_and_prefix_join(spark):
     assert got <= want and len(got) >= 0.97 * len(want)  # grams repeated in a word may hide a pair
 
 
+def shuffled_rows(spark, run):
+    """Rows written to shuffles by ``run``."""
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        store = context.statusStore()
+        stages = store.stageList(None, False, False, getattr(context.statusStore(), "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+def test_similar_words_shuffle_in_proportion(spark):
+    """Words alike in all but a few grams are no pairs unless they are one edit apart."""
+    rng = random.Random(9)
+    draw = lambda n: ["".join(rng.choice("abdegiklmnoprstuvz") for _ in range(5)) + "ovskaya" for _ in range(n)]
+    some = {n: spark.createDataFrame([(w, 1) for w in sorted(set(draw(n)))], "word string, n bigint") for n in (500, 4000)}
+    few, many = (shuffled_rows(spark, lambda d=d: name_variants.similar_words(d).collect()) for d in some.values())
+    assert few > 0 and many < 12 * few
+
+
+def test_similar_words_of_every_edit(spark):
+    words = ["ŝkovać", "ŝkovač", "škovač", "ŝkvoać", "ŝkovaćx", "ŝkova", "aaaa", "aaaaa", "aaaaaa", "abab", "baba", "abba", "abc", "abcd", "𝒜bcd", "𝒜bdc"]
+    got = {(r.a, r.b) for r in name_variants.similar_words(spark.createDataFrame([(w, 1) for w in words], "word string, n bigint")).collect()}
+    assert got == {(a, b) for a in words for b in words if a != b and min(len(a), len(b)) > 3 and name_variants.within_one_edit(a, b)}
+
+
 def test_multi_index_finds_all_close_vectors():
     rng = random.Random(1)
     for _ in range(200):
