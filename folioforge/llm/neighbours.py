@@ -13,7 +13,9 @@ one byte a number, with the error of each; all that may be among the k best are
 and checked on the full vectors.
 
 Scale: the sorted arrays are range partitions of one shuffle of T small records a
-row (key, id, group, 64 bytes), for the descent without the vectors. A range partition's
+row (key, id, group, 66 bytes: the quantised vector and its error), for the descent
+without the vectors. Keys are made from the quantised vectors where they are needed, and
+the counts of a row travel as one value. A range partition's
 bounds include the hash of the id, so equal hash strings are split too; what the descent
 does not see beyond them only makes a row ascend further. Rows at the partitions' bounds
 are gathered once more, from both sides. Rows with bit-equal vectors are one class and
@@ -96,39 +98,54 @@ def _centre(rows: DataFrame, total: int, forest: Forest, dim: int) -> np.ndarray
     return m.mean(axis=0).astype(np.float32) if len(m) else np.zeros(dim, np.float32)
 
 
-def _sign(batches: Iterator[pa.RecordBatch], planes: np.ndarray, centre: np.ndarray, trees: int, dim: int) -> Iterator[pa.RecordBatch]:
-    weights = (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).astype(np.float64)
+def _packed(q: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Quantised rows, each followed by its error in two bytes, rounded up: as one value,
+    since every tree carries it through a shuffle."""
+    half = off.astype(np.float16)
+    half = np.where(half < off, np.nextafter(half, np.float16(np.inf)), half)
+    both = np.ascontiguousarray(np.concatenate([q.view(np.uint8), half[:, None].view(np.uint8)], axis=1))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(both.shape[1]), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(quantised rows, their errors) of ``_packed``."""
+    packed = column.combine_chunks()
+    both = np.frombuffer(packed.buffers()[2], dtype=np.uint8, count=len(packed) * (dim + 2), offset=packed.offset * (dim + 2)).reshape(-1, dim + 2)
+    return both[:, :dim].view(np.int8), np.ascontiguousarray(both[:, dim:]).view(np.float16)[:, 0].astype(np.float32)
+
+
+def _quantise(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column("vec")
-        m = _matrix(column, dim)
+        m = _matrix(batch.column("vec"), dim)
         norm = np.linalg.norm(m, axis=1)
         keep = np.isfinite(m).all(axis=1) & (norm > 0) & np.isfinite(norm)
         batch, m = batch.filter(pa.array(keep)), m[keep] / norm[keep, None]
-        n = len(m)
+        top = np.abs(m).max(axis=1, keepdims=True)
+        q = np.rint(m / top * 127).astype(np.int8)
+        # what quantising moves the unit vector by, with room for float32 products
+        off = np.linalg.norm(m - q / np.linalg.norm(q.astype(np.float32), axis=1, keepdims=True), axis=1) + 1e-5
+        yield pa.record_batch([*(batch.column(c) for c in ("id", "grp", "h1", "h2")), _packed(q, off)], names=["id", "grp", "h1", "h2", "q"])
+
+
+def _hash(batches: Iterator[pa.RecordBatch], planes: np.ndarray, centre: np.ndarray, trees: int, dim: int) -> Iterator[pa.RecordBatch]:
+    """The rows with their keys in each tree, from the quantised vectors: keys are as long
+    as these, so that they are made again rather than shuffled."""
+    weights = (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).astype(np.float64)
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        m = _unpacked(pa.chunked_array([batch.column("q")]), dim)[0].astype(np.float32)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
         bits = ((m - centre) @ planes > 0).reshape(n, trees, BITS)
         # two exact halves of 30 bits, since float64 products carry 53
         half = BITS // 2
         high = bits[:, :, :half].astype(np.float64) @ weights[half:]
         low = bits[:, :, half:].astype(np.float64) @ weights[half:]
         keys = (high.astype(np.int64) << half) | low.astype(np.int64)
-        top = np.abs(m).max(axis=1, keepdims=True)
-        q = np.rint(m / top * 127).astype(np.int8)
-        # what quantising moves the unit vector by, with room for float32 products
-        off = np.linalg.norm(m - q / np.linalg.norm(q.astype(np.float32), axis=1, keepdims=True), axis=1) + 1e-5
-        yield pa.record_batch(
-            [
-                batch.column("id"),
-                batch.column("grp"),
-                batch.column("h1"),
-                batch.column("h2"),
-                pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), n, [None, pa.py_buffer(np.ascontiguousarray(q).tobytes())]).cast(pa.binary()),
-                pa.array(off.astype(np.float32)),
-                pa.ListArray.from_arrays(np.arange(0, n * trees + 1, trees, dtype=np.int32), pa.array(keys.reshape(-1))),
-            ],
-            names=["id", "grp", "h1", "h2", "q", "off", "keys"],
-        )
+        yield batch.append_column("keys", pa.ListArray.from_arrays(np.arange(0, n * trees + 1, trees, dtype=np.int32), pa.array(keys.reshape(-1))))
 
 
 def _bounds(at: np.ndarray, asked: np.ndarray, grp: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,11 +198,17 @@ def _descend(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[pa.Reco
             mine = prefix[order]
             own = np.empty(hi - lo)
             own[order] = per_run(other | np.r_[True, mine[1:] != mine[:-1]], seen[order])
-            columns.append(np.minimum(every - own, enough).astype(np.int32))
+            columns.append(np.minimum(every - own, enough).astype(np.int16 if enough < 2**15 else np.int32))
         who = asks[lo:hi]
+        numbers = np.stack([c[who] for c in columns], axis=1)
         yield pa.record_batch(
-            [pa.array(cids[lo:hi][who]), pa.array(grp[who]), *(pa.array(c[who]) for c in columns)],
-            names=["cid", "grp", *(f"n{x}" for x in LEVELS)],
+            [
+                pa.array(cids[lo:hi][who]),
+                pa.array(np.where(shown[lo:hi], 0, grp)[who]),
+                pa.array(shown[lo:hi][who]),
+                pa.ListArray.from_arrays(np.arange(0, numbers.size + 1, len(LEVELS), dtype=np.int32), pa.array(numbers.reshape(-1))),
+            ],
+            names=["cid", "view", "shown", "n"],
         )
 
 
@@ -255,10 +278,9 @@ def _ascend(batches: Iterator[pa.RecordBatch], k: int, least: float, window: int
     if not got:
         return
     t = pa.Table.from_batches(got).combine_chunks()
-    trees, cids, grps, offs, keys, depths = (t[c].to_numpy() for c in ("tree", "cid", "grp", "off", "key", "depth"))
+    trees, cids, grps, keys, depths = (t[c].to_numpy() for c in ("tree", "cid", "grp", "key", "depth"))
     asks, shown = (t[c].to_numpy(zero_copy_only=False) for c in ("asks", "shown"))
-    packed = t["q"].combine_chunks()
-    q = np.frombuffer(packed.buffers()[2], dtype=np.int8, count=t.num_rows * dim, offset=packed.offset * dim).reshape(-1, dim)
+    q, offs = _unpacked(t["q"], dim)
     for tree in np.unique(trees):
         lo, hi = np.searchsorted(trees, [tree, tree + 1])
         z = q[lo:hi].astype(np.float32)
@@ -335,28 +357,30 @@ def most_similar(rows: DataFrame, k: int = 5, *, dim: int = 64, min_similarity:
     hashed = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
     planes, centre, trees = _planes(forest, dim), _centre(rows, total, forest, dim), forest.trees
     signed = hashed.mapInArrow(
-        lambda it: _sign(it, planes, centre, trees, dim),
-        "id bigint, grp bigint, h1 bigint, h2 bigint, q binary, off float, keys array<bigint>",
+        lambda it: _quantise(it, dim),
+        "id bigint, grp bigint, h1 bigint, h2 bigint, q binary",
     )
     # asking is a row's property; a class asks if one of its rows does
     ask = F.expr(asks)
     classes = cut(
         signed.groupBy("h1", "h2").agg(
             F.min("id").alias("cid"), F.max("id").alias("last"), F.min("grp").alias("g0"), F.max("grp").alias("g1"),
-            F.first("q").alias("q"), F.first("off").alias("off"), F.first("keys").alias("keys"), F.bool_or(F.coalesce(ask, F.lit(False))).alias("asks"),
+            F.first("q").alias("q"), F.bool_or(F.coalesce(ask, F.lit(False))).alias("asks"),
         )
     )
     size = classes.count()
     several = classes.where("cid <> last").select("h1", "h2", "cid")
-    copies = hashed.select("h1", "h2", "id", "grp").join(several, ["h1", "h2"]).select("cid", "id", "grp").distinct()
+    # few rows are left of the pass over all, which is not made again for each use
+    copies = cut(hashed.select("h1", "h2", "id", "grp").join(several, ["h1", "h2"]).select("cid", "id", "grp").distinct())
     # a class of several groups asks once more for each group that has fewer than k of
     # the class outside itself (nine groups at most), past that group's rows
     shares = copies.groupBy("cid", "grp").agg(F.count("*").alias("m"), F.bool_or(F.coalesce(ask, F.lit(False))).alias("asks"))
     sizes = copies.groupBy("cid").agg(F.count("*").alias("n"))
     views = shares.join(sizes, "cid").where(F.col("asks") & (F.col("n") > F.col("m")) & (F.col("n") - F.col("m") < k)).select("cid", "grp")
     shared = F.lit(-(2**62)) - F.col("cid")
-    rows_of = classes.select("cid", "asks", "q", "off", "keys", F.lit(True).alias("shown"), F.when(F.col("g0") == F.col("g1"), F.col("g0")).otherwise(shared).alias("grp"))
-    views_of = classes.select("cid", F.lit(True).alias("asks"), "q", "off", "keys", F.lit(False).alias("shown")).join(views, "cid")
+    rows_of = classes.select("cid", "asks", "q", F.lit(True).alias("shown"), F.when(F.col("g0") == F.col("g1"), F.col("g0")).otherwise(shared).alias("grp"))
+    # only classes of several rows have views, so that the others stay out of this join's shuffle
+    views_of = classes.where("cid <> last").select("cid", F.lit(True).alias("asks"), "q", F.lit(False).alias("shown")).join(views, "cid")
     entries = rows_of.unionByName(views_of)
     tree, state = F.posexplode("keys").alias("tree", "key"), ["cid", "asks", "shown", "grp"]
     window, found = forest.window, "cid bigint, view bigint, near bigint, low float, high float"
@@ -364,15 +388,19 @@ def most_similar(rows: DataFrame, k: int = 5, *, dim: int = 64, min_similarity:
     order, ranges = ["tree", "key", F.xxhash64("tree", "cid")], max(1, -(-size * trees // forest.rows_per_task))
     in_order = lambda d: d.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     # the descent in every tree, then the level at which the trees together hold enough
-    levels = ", ".join(f"n{x} int" for x in LEVELS)
-    counts = in_order(entries.select(tree, *state)).mapInArrow(lambda it: _descend(it, forest.enough), f"cid bigint, grp bigint, {levels}")
-    held = counts.groupBy("cid", "grp").agg(*[F.sum(f"n{x}").alias(f"n{x}") for x in LEVELS])
+    hashed_in = lambda d, more: d.mapInArrow(lambda it: _hash(it, planes, centre, trees, dim), f"cid bigint, asks boolean, shown boolean, grp bigint, q binary, {more}keys array<bigint>")
+    number = "smallint" if forest.enough < 2**15 else "int"
+    counts = in_order(hashed_in(entries.select(*state, "q"), "").select(tree, *state)).mapInArrow(lambda it: _descend(it, forest.enough), f"cid bigint, view bigint, shown boolean, n array<{number}>")
+    # rows of one class and view stand in different partitions: there is nothing to sum before the shuffle
+    whose = ["cid", "view", "shown"]
+    held = counts.repartition(*whose).groupBy(*whose).agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{x}") for i, x in enumerate(LEVELS)])
     stop = F.coalesce(*[F.when(F.col(f"n{x}") >= forest.enough, x) for x in LEVELS], F.lit(0))
-    entries = entries.join(held.select("cid", "grp", stop.cast("tinyint").alias("depth")), ["cid", "grp"], "left").fillna(0, ["depth"])
-    arrays = in_order(entries.select(tree, *state, "q", "off", "depth"))
+    entries = entries.withColumn("view", F.when(F.col("shown"), 0).otherwise(F.col("grp")))
+    entries = entries.join(held.select(*whose, stop.cast("tinyint").alias("depth")), whose, "left").fillna(0, ["depth"])
+    arrays = in_order(hashed_in(entries.select(*state, "q", "depth"), "depth tinyint, ").select(tree, *state, "q", "depth"))
     near = arrays.mapInArrow(lambda it: _ascend(it, k, min_similarity, window, dim), found)
     if ranges > 1:
-        edges = arrays.mapInArrow(lambda it: _edges(it, window, trees), "key bigint, cid bigint, asks boolean, shown boolean, grp bigint, q binary, off float, depth tinyint, tree bigint, pos bigint")
+        edges = arrays.mapInArrow(lambda it: _edges(it, window, trees), "key bigint, cid bigint, asks boolean, shown boolean, grp bigint, q binary, depth tinyint, tree bigint, pos bigint")
         seams = edges.repartition("tree").sortWithinPartitions("tree", "pos")
         near = near.unionByName(seams.mapInArrow(lambda it: _ascend(it, k, min_similarity, window, dim), found))
     near = near.repartition("cid").groupBy("cid", "view", "near").agg(F.max("low").alias("low"), F.max("high").alias("high"))

@@ -1,6 +1,7 @@
 """Problem 1: papers that fill their rows' windows with themselves."""
 
 import numpy as np
+import pyarrow as pa
 
 from folioforge.llm import neighbours
 
@@ -57,3 +58,29 @@ def test_twins_at_the_bounds_of_range_partitions(spark):
     forest = neighbours.Forest(trees=1, window=1, rows_per_task=43)
     got = neighbours.most_similar(spark.createDataFrame(rows, VEC), 1, dim=32, min_similarity=0.99, forest=forest).collect()
     assert {(r.id, r.near_id) for r in got} == {(i, i ^ 1) for i in range(2000)}
+
+
+def test_errors_of_quantising_are_packed_and_never_rounded_down():
+    rng = np.random.default_rng(8)
+    q = rng.integers(-127, 128, (500, 16)).astype(np.int8)
+    off = np.r_[1e-5, 0.0, 0.3, 10.0 ** rng.uniform(-6, 0, 497)].astype(np.float32)
+    got_q, got_off = neighbours._unpacked(pa.chunked_array([neighbours._packed(q, off)]).slice(3), 16)
+    assert (got_q == q[3:]).all() and (got_off >= off[3:]).all() and (got_off <= off[3:] * 1.01 + 1e-6).all()
+
+
+def test_rows_without_copies_are_shuffled_a_few_times_only(spark):
+    """The trees' arrays, counts and one join; neither their keys nor a join of all rows for copies."""
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        store = context.statusStore()
+        stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    rng, n = np.random.default_rng(9), 6000
+    x = rng.standard_normal((n, 64))
+    rows = spark.createDataFrame([(i, i, [float(v) for v in r], True) for i, r in enumerate(x)], VEC)
+    before, forest = written(), neighbours.Forest(trees=2, window=16, rows_per_task=2000)
+    neighbours.most_similar(rows, 5, min_similarity=0.9, forest=forest).collect()
+    assert 0 < written() - before < 850 * n  # 735 and, with keys and copies' joins of all rows, 988
